@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .language_id import language_id
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
 from .token_records import token_records
+from .top_k import top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,10 +36,24 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, ~held_out, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("ambiguous")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -44,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op5_token_records": op5_token_records,
+    "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_top_k": op8_top_k,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
@@ -62,4 +83,11 @@ FROM d LEFT JOIN sums USING (doc_id)""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_top_k": """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT vec_id, len(embedding) AS n, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM e),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(sum(q.v * d.v) AS BIGINT) AS score
+      FROM t q JOIN t d ON q.i = d.i AND q.n = d.n AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 }
