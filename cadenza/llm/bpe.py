@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, ids_per_document
-from .common import binary, small_batches, text_blocks, word_spans
+from .chunks import ChunkEncoder, ids_per_document, word_cuts
+from .common import binary, small_batches, text_blocks
 
 
 class PairIndexBPE:
@@ -41,11 +41,14 @@ class PairIndexBPE:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) or model.get("unk_token") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("this kind of vocabulary isn't supported")
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.merges = {rank: (pair, new) for pair, (rank, new) in self.ranks.items()}
-        self.tokens: dict[int, bytes] = {i: t.encode() for t, i in (self.vocab | self.special).items()}
+        merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        self.merges = np.array(merges, np.int64)
+        order = np.argsort(self.merges[:, 0] << 32 | self.merges[:, 1], kind="stable")
+        self.pair_keys, self.pair_ranks = (self.merges[:, 0] << 32 | self.merges[:, 1])[order], order
+        self.tokens: list[bytes | None] = [None] * (max([*self.vocab.values(), *self.special.values()]) + 1)
+        for t, i in (self.vocab | self.special).items():
+            self.tokens[i] = t.encode()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
 
     def pieces(self, chunk: str) -> list[str | int]:
         """Pieces to merge within, and ids of special tokens."""
@@ -57,64 +60,121 @@ class PairIndexBPE:
                 out += [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part) if self.normalizer else part)]
         return out
 
-    def merge(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; all pieces share one pair occurrence index."""
-        symbol, piece, bounds = [], [], [0]
-        for k, p in enumerate(pieces):
-            last = len(p) - 1
-            for i, c in enumerate(p):
-                if (found := self.vocab.get(c + self.suffix if i == last else c)) is not None:  # without an unknown token, unknown symbols go
-                    symbol.append(found)
-                    piece.append(k)
-            bounds.append(len(symbol))
-        n = len(symbol)
-        right, left, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks
-        occur: dict[int, list[int]] = {}
-        active: list[int] = []
-
-        def note(at: int, pair: tuple[int, int]) -> None:
-            if (found := ranks.get(pair)) is None:
-                return
-            if (where := occur.get(found[0])) is None:
-                occur[found[0]] = [at]
-                heapq.heappush(active, found[0])
+    def many_pieces(self, chunks: list[str]) -> list[list[str | int]]:
+        """``pieces`` of each chunk. Chunks that surely hold no special token go through the library together, parted by spaces."""
+        out: list = [None] * len(chunks)
+        plain = []
+        for i, c in enumerate(chunks):
+            if "<" in c or "\x01" in c:
+                out[i] = self.pieces(c)
             else:
-                where.append(at)
+                plain.append(i)
+        joined = "\x01".join([chunks[i] for i in plain])
+        clean = (self.normalizer.normalize_str(joined) if self.normalizer else joined).split("\x01")
+        easy = []
+        for i, c in zip(plain, clean, strict=True):
+            if " " in c:
+                out[i] = self.pieces(chunks[i])
+            else:
+                easy.append((i, c))
+        at, pos = [], 0
+        for i, c in easy:
+            out[i] = []
+            at.append(pos)
+            pos += len(c) + 1
+        k, bound = 0, at[1:] + [pos + 1]
+        for p, (start, _) in self.pre_tokenizer.pre_tokenize_str(" ".join([c for _, c in easy])):
+            while start >= bound[k]:
+                k += 1
+            out[easy[k][0]].append(p)
+        return out
 
-        for i in range(n - 1):
-            if piece[i] == piece[i + 1]:
-                note(i, (symbol[i], symbol[i + 1]))
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or -1."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def merge(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece; all pieces share one pair occurrence index."""
+        vocab, suffix = self.vocab, self.suffix
+        symbols, lens = [], []
+        for p in pieces:
+            own = [vocab.get(c) for c in p[:-1]]
+            own.append(vocab.get(p[-1] + suffix))
+            if None in own:  # without an unknown token, unknown symbols go
+                own = [s for s in own if s is not None]
+            symbols += own
+            lens.append(len(own))
+        n = len(symbols)
+        symbol = np.array([*symbols, -1], np.int64)
+        edges = np.concatenate(([0], np.cumsum(lens)))
+        # neighbours within a piece; n stands for none
+        right, left = np.arange(1, n + 2), np.arange(-1, n)
+        right[edges[1:][edges[1:] > 0] - 1] = n
+        left[edges[:-1]] = n
+        right[n] = left[n] = n
+        rank = self.ranks(symbol[:n], symbol[right[:n]])
+        order = np.argsort(rank, kind="stable")
+        present, first = np.unique(rank[order], return_index=True)
+        bounds = dict(zip(present.tolist(), zip(first.tolist(), [*first[1:].tolist(), n], strict=True), strict=True))
+        bounds.pop(-1, None)
+        active, later = sorted(bounds), {}
         while active:
-            rank = heapq.heappop(active)
-            (a, b), new = self.merges[rank]
-            for i in sorted(occur.pop(rank)):  # from the left, so that overlapping pairs merge as in a scan
-                j = right[i]
-                if symbol[i] != a or j >= n or symbol[j] != b or piece[j] != piece[i]:
-                    continue  # one of the two went into another merge
-                symbol[i], symbol[j] = new, -1
-                right[i] = k = right[j]
-                if k < n:
-                    left[k] = i
-                    if piece[k] == piece[i]:
-                        note(i, (new, symbol[k]))
-                h = left[i]
-                if h >= 0 and piece[h] == piece[i]:
-                    note(h, (symbol[h], new))
-        return [[s for s in symbol[x:y] if s >= 0] for x, y in zip(bounds, bounds[1:], strict=False)]
+            r = heapq.heappop(active)
+            a, b, new = self.merges[r].tolist()
+            at = order[slice(*bounds[r])] if r in bounds else None
+            if r in later:
+                more = np.array(later.pop(r))
+                at = np.unique(more if at is None else np.concatenate((at, more)))
+            i = at[(symbol[at] == a) & (symbol[right[at]] == b)]  # else one of the two went into another merge
+            if a == b and len(i):  # of overlapping pairs, the left one merges first
+                taken, chosen = -1, []
+                for x in i.tolist():
+                    if x != taken:
+                        chosen.append(x)
+                        taken = int(right[x])
+                i = np.array(chosen)
+            if not len(i):
+                continue
+            j = right[i]
+            k = right[j]
+            symbol[i], symbol[j] = new, -1
+            right[i] = k
+            left[k] = i
+            left[n] = n
+            h = left[i]
+            starts = np.concatenate((i, h))
+            found = self.ranks(symbol[starts], symbol[np.concatenate((k, i))])
+            for x, where in zip(found.tolist(), starts.tolist(), strict=True):
+                if x >= 0:
+                    if x in later:
+                        later[x].append(where)
+                    else:
+                        later[x] = [where]
+                        if x not in bounds or x < r:
+                            heapq.heappush(active, x)
+        kept = symbol[:n] >= 0
+        ids = symbol[:n][kept].tolist()
+        cut = np.concatenate(([0], np.cumsum(kept)))[edges].tolist()
+        return [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        cut = [self.pieces(c.decode()) for c in chunks]
-        new = list(dict.fromkeys(p for ps in cut for p in ps if isinstance(p, str) and p not in self.known))
-        if len(self.known) + len(new) > 300_000:
-            self.known = {}
-            new = list(dict.fromkeys(p for ps in cut for p in ps if isinstance(p, str)))
-        self.known.update(zip(new, self.merge(new), strict=True))
-        return [[i for p in ps for i in ([p] if isinstance(p, int) else self.known[p])] for ps in cut]
+        cut = self.many_pieces([c.decode() for c in chunks])
+        place: dict[str, int] = {}
+        for ps in cut:
+            for p in ps:
+                if p.__class__ is str:
+                    place.setdefault(p, len(place))
+        ids = self.merge(list(place))
+        return [ids[place[ps[0]]] if len(ps) == 1 and ps[0].__class__ is str else [i for p in ps for i in ([p] if p.__class__ is int else ids[place[p]])] for ps in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         """As the library without a decoder: tokens joined by a space, special ones included; unknown ids are left out."""
-        get = self.tokens.get
-        return b" ".join([t for i in ids if (t := get(i)) is not None])
+        try:
+            return b" ".join(map(self.tokens.__getitem__, ids))
+        except (IndexError, TypeError):
+            return b" ".join([self.tokens[i] for i in ids if 0 <= i < len(self.tokens) and self.tokens[i] is not None])
 
 
 _LOADED: dict[str, tuple[PairIndexBPE, ChunkEncoder]] = {}
@@ -140,17 +200,21 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = loaded(tokenizer)
-        for batch, data, offs in text_blocks(batches):
-            starts, ends, _ = word_spans(data, offs)
-            ids, counts = encoder(data, starts, ends)
-            at = ids_per_document(starts, counts, offs)
-            columns: dict[str, list] = {c: [] for c in keep}
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = ids[a:b]
-                raw = own.astype("<u4").tobytes()
-                text = bpe.decode(np.frombuffer(raw, "<u4").tolist()) if decode else b""
-                for c in keep:
-                    columns[c].append(b - a if c == "n_tokens" else raw if c == "ids" else hashlib.sha256(raw).hexdigest() if c == "ids_sha256" else text.decode() if c == "decoded" else hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["id"], *(binary(v) if c == "ids" else pa.array(v, pa.int64() if c == "n_tokens" else pa.string()) for c, v in columns.items())], ["id", *keep])
+        for whole in batches:
+            blocks = list(text_blocks(iter([whole])))
+            cuts = [word_cuts(data, offs) for _, data, offs in blocks]
+            encoded = encoder([(data, *cut) for (_, data, _), cut in zip(blocks, cuts, strict=True)])
+            for (batch, _, offs), (starts, _), (ids, counts) in zip(blocks, cuts, encoded, strict=True):
+                yield emit(bpe, batch, ids, ids_per_document(starts, counts, offs))
+
+    def emit(bpe: PairIndexBPE, batch: pa.RecordBatch, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        columns: dict[str, list] = {c: [] for c in keep}
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = ids[a:b]
+            raw = own.astype("<u4").tobytes()
+            text = bpe.decode(np.frombuffer(raw, "<u4").tolist()) if decode else b""
+            for c in keep:
+                columns[c].append(b - a if c == "n_tokens" else raw if c == "ids" else hashlib.sha256(raw).hexdigest() if c == "ids_sha256" else text.decode() if c == "decoded" else hashlib.sha256(text).hexdigest())
+        return pa.RecordBatch.from_arrays([batch["id"], *(binary(v) if c == "ids" else pa.array(v, pa.int64() if c == "n_tokens" else pa.string()) for c, v in columns.items())], ["id", *keep])
 
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, " + ", ".join(f"{c} {kinds[c]}" for c in keep)).withColumnRenamed("id", id_col)

@@ -8,20 +8,32 @@ blocks of the same Python worker.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
-from .common import SEPARATOR, span_hash
+from .common import SEPARATOR, span_hash, word_spans
 
 #: Chunks that a worker remembers; beyond it the cache starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 #: First bytes of the non-ASCII characters among which Unicode has white space.
 _MAYBE_SPACE_LEAD = np.zeros(256, bool)
 _MAYBE_SPACE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: Fixed: ASCII letters, and punctuation that starts neither a contraction nor a special token.
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_POINT[[ord(c) for c in '.,;:!?()[]{}"-/*#%&$=+~@^_']] = True
+
+
+def before_points(data: np.ndarray) -> np.ndarray:
+    """Positions of punctuation after an ASCII letter: each vocabulary here keeps letters and punctuation apart."""
+    return np.flatnonzero(_POINT[data[1:]] & _LETTER[data[:-1]]) + 1
+
+
 def space_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks that begin at a document or at a single space between two characters that surely aren't white space."""
     n = len(data)
@@ -42,40 +54,58 @@ def space_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = at[(at >= 0) & (at < n)]
         cut[at] = False
     cut[heads] = True
+    cut[before_points(data)] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], n)
 
 
 class ChunkEncoder:
-    """Ids of every document of a block; ``encode(list of chunk bytes)`` gives a list of id lists."""
+    """Ids of the chunks of some blocks; ``encode(list of chunk bytes)`` gives a list of id lists and is called once for all blocks."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode, self.cache = encode, {}
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks in order, and the number of ids of each chunk."""
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        distinct, first, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys, cache = distinct.tolist(), self.cache
-        if len(cache) + len(keys) > CACHE_ENTRIES:
-            cache.clear()
-        if new := [i for i, k in enumerate(keys) if k not in cache]:
-            at = first[new]
-            raw = data.tobytes()
-            chunks = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for i, ids in zip(new, self.encode(chunks), strict=True):
-                cache[keys[i]] = np.array(ids, np.uint32).tobytes()
-        found = [cache[k] for k in keys]
+    def __call__(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block (bytes, first byte and end of each chunk): all ids in order, and the number of ids of each chunk."""
+        plans, new, chunks = [], {}, []
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        cache = self.cache
+        for data, starts, ends in blocks:
+            distinct, first, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+            keys = distinct.tolist()
+            plans.append((keys, which))
+            if missing := [i for i, k in enumerate(keys) if k not in cache and k not in new]:
+                at, raw = first[missing], data.tobytes()
+                for i, s, e in zip(missing, starts[at].tolist(), ends[at].tolist(), strict=True):
+                    new[keys[i]] = len(chunks)
+                    chunks.append(raw[s:e])
+        if chunks:
+            for key, ids in zip(new, self.encode(chunks), strict=True):
+                cache[key] = struct.pack(f"<{len(ids)}I", *ids)
+        return [self._gather(*plan) for plan in plans]
+
+    def _gather(self, keys: list[int], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.cache[k] for k in keys]
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, heads = np.frombuffer(b"".join(found), np.uint32), np.cumsum(lens) - lens
+        flat, heads = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens
         n = lens[which]
-        to = np.cumsum(n)
         if not len(flat):
             return np.zeros(0, np.uint32), n
+        to = np.cumsum(n)
         return flat[np.repeat(heads[which] - (to - n), n) + np.arange(to[-1])], n
 
 
+def word_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ASCII white space between them, cut once more before punctuation."""
+    starts, ends, _ = word_spans(data, offs)
+    inner = before_points(data)
+    if len(inner):
+        inner = inner[~np.isin(inner, offs)]  # the letter belongs to another document
+        starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+    return starts, ends
+
+
 def ids_per_document(chunk_starts: np.ndarray, ids_per_chunk: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Offsets (n + 1) of each document's ids among the ids of a block."""
     before = np.concatenate(([0], np.cumsum(ids_per_chunk)))

@@ -100,7 +100,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         for batch, data, offs in text_blocks(batches):
             starts, ends = space_cuts(data, offs)
-            ids, counts = encoder(data, starts, ends)
+            ids, counts = encoder([(data, starts, ends)])[0]
             if len(ids) and int(ids.max()) >> (8 * width):
                 raise ValueError(f"an id doesn't fit {width} bytes")
             at = ids_per_document(starts, counts, offs)
