@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import table
+from .common import stored, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
+from .line_dedup import line_dedup
+from .mixing import mix_sources, with_topic
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
 from .token_records import token_records
@@ -32,6 +34,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85).drop("n_links")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to token shares tempered by the power 0.7 over source, language and topic."""
+    docs = stored(with_topic(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_words"), "topics")
+    return mix_sources(docs, keep_share=0.7)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that have an earlier line of 80 % equal words."""
+    docs = line_dedup(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -61,6 +75,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_records": op5_token_records,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,

@@ -33,7 +33,7 @@ HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<IB")
 BODY = struct.Struct("<BBq")
 INDEX = "part int, record bigint, doc_id bigint, offset bigint, bytes bigint, n_tokens bigint"
 #: Bytes of text behind one file, on average.
-BYTES_PER_FILE = 16 << 20
+BYTES_PER_FILE = 8 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -80,7 +80,15 @@ def library_encoder(path: str) -> ChunkEncoder:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _ENCODERS[path] = ChunkEncoder(lambda chunks: [e.ids for e in tok.encode_batch([c.decode() for c in chunks], add_special_tokens=False)])
+
+
+        def encode(chunks: list[bytes]) -> list[list[int]]:
+            out: list[list[int]] = []
+            for at in range(0, len(chunks), 10_000):  # the library's results are large
+                out += [e.ids for e in tok.encode_batch_fast([c.decode() for c in chunks[at : at + 10_000]], add_special_tokens=False)]
+            return out
+
+        _ENCODERS[path] = ChunkEncoder(encode)
     return _ENCODERS[path]
 
 
@@ -137,9 +145,9 @@ def _one_at_a_time(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
 
-def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """Every document as written, checksums verified: part, record, doc_id, start, n_tokens, ids (binary, u32), ids_crc32."""
-    schema = "part int, record bigint, doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint"
+def read_records(spark: SparkSession, path: str, index: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Every document as written, checksums verified: part, record, doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, u32)."""
+    schema = "part int, record bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +155,8 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 for k, (_, _, d, ids) in enumerate(frames(memoryview(content.as_buffer()))):
                     raw = ids.astype("<u4").tobytes()
-                    rows.append((part, k, d, base, len(ids), raw, zlib.crc32(raw)))
-                    base, size = base + len(ids), size + len(raw)
+                    rows.append((part, k, d, base, len(ids), zlib.crc32(raw), *[raw] * with_ids))
+                    base, size = base + len(ids), size + len(raw) * with_ids
                     if size > 8 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -156,13 +164,13 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                     yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "record", "doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+        kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * with_ids]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "record", "doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     _one_at_a_time(spark)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per file
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    # file contents aren't shuffled: the table of files is small by construction (one row per 16 MB of text)
+    # file contents aren't shuffled: the table of files is small by construction (one row per 8 MB of text)
     return _files(spark, path).join(F.broadcast(before), "part").mapInArrow(parse, schema)
 
 
@@ -178,7 +186,7 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int | None, width: in
     path = fresh_path(spark, "token-records")
     write_records(docs, f"{path}/data", tokenizer, end_id, width, id_col, text_col)
     index = build_index(spark, f"{path}/data", f"{path}/index")
-    return read_records(spark, f"{path}/data", index).select("doc_id", "start", "n_tokens", "ids_crc32", "part", "record")
+    return read_records(spark, f"{path}/data", index, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "part", "record")
 
 
 __all__ = ["build_index", "frame", "frames", "read_records", "read_shuffled", "shared_dir", "token_records", "write_records"]
