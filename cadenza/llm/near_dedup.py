@@ -4,9 +4,10 @@ Each permutation yields the least and the greatest value of a set, two nearly in
 for one hash evaluation; three permutations (six values) make a band. Sets with equal hashes are one
 node. Nodes that share a band are candidates, but a band's members aren't paired with one another:
 each is compared with one pivot of the band, the confirmed links are joined to components, and
-only bands that still hold several components are looked at again, first against another pivot, then
-every pair across components. So a tight group of m copies costs about m comparisons, and no link
-between different sets that share a band is lost. With 32 bands a pair at 0.85 shares none once in
+only bands that still hold several components are looked at again, against other pivots and at last across
+all their components. Before sets are compared, a pair must pass bounds that no linked pair fails: by
+sizes, and by a 1024-bit map of each set, in which the bits that differ can't outnumber the shingles that differ. So a
+tight group of m copies costs about m comparisons, and no link between different sets that share a band is lost. With 32 bands a pair at 0.85 shares none once in
 four million, at 0.8 once in 15,000 (more bands: fewer).
 
 Comparisons run as streams: a pivot's set, then its members' sets, dealt over more tasks where a
@@ -28,6 +29,10 @@ from .components import components
 
 #: Permutations that make a band; each gives a least and a greatest value.
 PER_BAND = 3
+#: Rounds against one pivot of a band before all components of a band are compared.
+PIVOT_ROUNDS = 3
+#: 64-bit words of the map of a set.
+MAP = 16
 #: Members of a pivot that one task compares.
 MEMBERS_PER_TASK = 500
 _U64 = np.uint64
@@ -75,6 +80,18 @@ def min_max_bands(sets: np.ndarray, offs: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def bit_maps(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """(documents, MAP) words: bit h mod 1024 is set for each hash h."""
+    out = np.empty((len(offs) - 1, MAP), np.int64)
+    at = (sets & _U64(64 * MAP - 1)).astype(np.int64)
+    for x in range(0, len(out), 4096):
+        heads = offs[x : x + 4097]
+        bits = np.zeros((len(heads) - 1, 64 * MAP), bool)
+        bits[np.repeat(np.arange(len(heads) - 1), np.diff(heads)), at[heads[0] : heads[-1]]] = True
+        out[x : x + 4096] = np.packbits(bits, axis=1).view("<i8")
+    return out
+
+
 def _signatures(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in text_blocks(batches):
@@ -85,7 +102,8 @@ def _signatures(width: int, bands: int):
             node = [int.from_bytes(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=8).digest(), "little", signed=True) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             values = min_max_bands(sets, np.append(at[:-1][full], at[-1]), bands) if len(full) else np.zeros((0, bands), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(size, bands, 0)))), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists], ["id", "k1", "k2", "n", "node", "bands"])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * MAP, pa.int32()), pa.array(bit_maps(sets, at).ravel()))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, maps], ["id", "k1", "k2", "n", "node", "bands", "map"])
 
     return run
 
@@ -155,38 +173,42 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(keyed.mapInArrow(_signatures(width, bands), f"id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, bands array<bigint>"), "signatures")
+    rows = stored(keyed.mapInArrow(_signatures(width, bands), f"id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, bands array<bigint>, map array<bigint>"), "signatures")
 
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).where("least.node < most")
-    open_ = stored(members.join(shared.select("band", "least"), "band"), "bands")
-
-    def fits(a: str, b: str):
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-    pairs = stored(open_.where(F.col("node") != F.col("least.node")).where(fits("n", "least.n")).select(F.col("least.node").alias("pivot"), "node").distinct(), "pairs")
-    # one row carries the text of a node
-    carrier = rows.where("node IS NOT NULL").join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"))
-    carrier = carrier.select("k.k1", "k.k2", "node", "n")
-    texts = keyed.select("k1", "k2", "text").join(carrier, ["k1", "k2"]).select("node", "n", "text")
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    open_ = stored(members.join(shared.select("band"), "band"), "bands")
+    # one row carries text and map of a node
+    carrier = rows.where("node IS NOT NULL").join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2", "n", "map")).alias("k"))
+    carrier = stored(carrier.select("node", "k.*"), "carriers")
+    texts = keyed.select("k1", "k2", "text").join(carrier.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "text")
     sets = stored(texts.mapInArrow(_sets(width), "node bigint, n bigint, hashes binary").dropDuplicates(["node"]), "sets")
-
-    tried, links = pairs, stored(_confirmed(pairs, sets, percent), "links")
-    for last in (False, True):
-        labels = components(links)
-        now = open_.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max(F.struct("label", "node", "n")).alias("other")).where("low < other.label")
-        now = stored(now.join(mixed.select("band", "other"), "band"), "mixed")
-        if not last:
-            found = now.where("label <> other.label").where(fits("n", "other.n")).select(F.col("other.node").alias("pivot"), "node")
+    maps = carrier.select("node", "n", *(F.col("map")[k].alias(f"w{k}") for k in range(MAP)))
+    other = maps.select(F.col("node").alias("pivot"), F.col("n").alias("m"), *(F.col(f"w{k}").alias(f"v{k}") for k in range(MAP)))
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, MAP)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+    now, links, tried = open_.withColumn("label", F.col("node")), None, None
+    for turn in range(PIVOT_ROUNDS + 1):
+        if turn:
+            labels = components(links)
+            now = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            now = stored(now.join(mixed.select("band"), "band"), "mixed")
+        if turn < PIVOT_ROUNDS:
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")
+            pivots = now.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("far"))
+            found = now.join(pivots, "band").where("label <> far").select("pivot", "node").distinct().join(maps, "node").join(other, "pivot").where(possible).select("pivot", "node")
         else:
-            x, y = now.select("band", "node", "n", "label"), now.select("band", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("far"))
-            found = x.join(y, "band").where("label < far").where(fits("n", "m")).select("pivot", "node")
-        found = found.distinct().join(tried, ["pivot", "node"], "left_anti")
-        found = stored(found.join(tried.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti"), "pairs")
-        tried = tried.union(found.select(*tried.columns))
-        links = links.union(stored(_confirmed(found, sets, percent), "links"))
+            mine = now.join(maps, "node")
+            theirs = now.select("band", F.col("node").alias("pivot"), F.col("label").alias("far")).join(other, "pivot")
+            found = mine.join(theirs, (mine["band"] == theirs["band"]) & (F.col("label") < F.col("far")) & possible).select("pivot", "node").distinct()
+        if tried is not None:
+            found = found.join(tried, ["pivot", "node"], "left_anti").join(tried.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti")
+        found = stored(found.select("pivot", "node"), "pairs")
+        confirmed = stored(_confirmed(found, sets, percent), "links")
+        tried, links = (found, confirmed) if tried is None else (tried.union(found), links.union(confirmed))
 
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
