@@ -48,10 +48,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage is cut, losing executors costs nothing."""
-    path = fresh_path(df.sparkSession, name)
+    """``df`` written once to the shared folder and read again: lineage is cut, losing executors costs nothing.
+
+    What was shuffled on the way is then garbage, but Spark deletes it only when the driver's JVM collects: it is asked to.
+    """
+    spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -251,8 +251,8 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(lines.sid[use]), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32))], ["sid", "id", "k1", "k2", "line"])
 
     lines = stored(keyed.mapInArrow(list_lines, f"sid bigint, id {dict(keyed.dtypes)['id']}, k1 bigint, k2 bigint, line int"), "lines")
-    place = F.struct("id", "k1", "k2", "line")
-    firsts = lines.groupBy("sid").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    place = F.struct("id", "k1", "line")
+    firsts = stored(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
 
     known = stored(members.join(firsts.select("sid", "first"), "sid"), "members")
     sets = stored(_word_sets(texts, stored(members.select("sid").distinct(), "wanted")), "sets")
@@ -268,7 +268,7 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int) -> DataFrame
     beaten = stored(beaten.union(_beaten(more, sets, percent)), "beaten")
 
     # a set whose only line stays needs no look at its lines
-    matter = firsts.join(beaten.withColumn("beaten", F.lit(True)), "sid", "left").where("beaten OR first < last")
+    matter = firsts.join(beaten.withColumn("beaten", F.lit(True)), "sid", "left").where("beaten OR times > 1")
     gone = lines.join(matter.select("sid", "first", "beaten"), "sid").where(F.coalesce("beaten", F.lit(False)) | (place > F.col("first")))
     return gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines"))
 
