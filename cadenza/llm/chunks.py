@@ -16,7 +16,7 @@ import numpy as np
 from .common import SEPARATOR, span_hash, word_spans
 
 #: Chunks that a worker remembers; beyond it the cache starts afresh.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 #: First bytes of the non-ASCII characters among which Unicode has white space.
 _MAYBE_SPACE_LEAD = np.zeros(256, bool)

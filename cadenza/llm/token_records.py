@@ -84,8 +84,8 @@ def library_encoder(path: str) -> ChunkEncoder:
 
         def encode(chunks: list[bytes]) -> list[list[int]]:
             out: list[list[int]] = []
-            for at in range(0, len(chunks), 10_000):  # the library's results are large
-                out += [e.ids for e in tok.encode_batch_fast([c.decode() for c in chunks[at : at + 10_000]], add_special_tokens=False)]
+            for at in range(0, len(chunks), 2_000):  # the library's results are large
+                out += [e.ids for e in tok.encode_batch_fast([c.decode() for c in chunks[at : at + 2_000]], add_special_tokens=False)]
             return out
 
         _ENCODERS[path] = ChunkEncoder(encode)
