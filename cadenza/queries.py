@@ -222,11 +222,11 @@ _Q = features.STAT_QUANTILES
 
 def stat_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plan(spark, sf_dir, "part_month")
-    s = features.Scaler("max")
+    s = features.Scaler("standard")
     scaled = s.transform(p.panel, p.spec, s.fit(p.panel, p.spec, p.first_cutoff))
     out, _ = features.encode_statistics(scaled, p.spec, p.first_cutoff)
-    names = [c for c in out.columns if c.startswith("target_")]
-    return out.where("t = 1").select("id", *(F.round(c, 9 if "quantile" in c else 6).alias(c) for c in names))  # quantiles of shares of small integers tie at six digits
+    names = [c for c in out.columns if c.startswith("target_") and c != "target_mean"]  # the mean of a standardised series is 0, of either sign
+    return out.where("t = 1").select("id", *_r(*names))
 
 
 def _scale(kind: str) -> Query:
@@ -479,12 +479,12 @@ def _intervals_sql(model: str) -> str:
     return f"{_with('brand_week', _cv('brand_week'))} SELECT id, ct, i AS step, q, round(v, 6) AS value FROM cq WHERE model = '{model}'"
 
 
-_ENC = """, fit AS (SELECT id, coalesce(nullif(max(y), 0), 1) AS s FROM p WHERE t <= (SELECT min(ct) FROM c) GROUP BY 1),
-x AS (SELECT p.id, y / s AS y FROM p JOIN fit ON fit.id = p.id WHERE t <= (SELECT min(ct) FROM c)),
+_ENC = """, fit AS (SELECT id, avg(y) AS m0, coalesce(nullif(stddev_samp(y), 0), 1) AS s FROM p WHERE t <= (SELECT min(ct) FROM c) GROUP BY 1),
+x AS (SELECT p.id, (y - m0) / s AS y FROM p JOIN fit ON fit.id = p.id WHERE t <= (SELECT min(ct) FROM c)),
 mo AS (SELECT id, avg(y) AS m, count(*) AS n FROM x GROUP BY 1),
 ce AS (SELECT x.id, any_value(n) AS n, avg(y) AS m, stddev_samp(y) AS sd, avg((y - m) ** 2) AS m2, avg((y - m) ** 3) AS m3, avg((y - m) ** 4) AS m4, {q} FROM x JOIN mo ON mo.id = x.id GROUP BY x.id)
-SELECT id, round(m, 6) AS target_mean, round(sd, 6) AS target_std, round(CASE WHEN n >= 4 AND m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END, 6) AS target_skewness, round(CASE WHEN n >= 4 AND m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 6) AS target_kurtosis, {r} FROM ce""".format(
-    q=", ".join(f"quantile_cont(y, {q}) AS q{i}" for i, q in enumerate(_Q)), r=", ".join(f"round(CASE WHEN n >= 4 THEN q{i} ELSE 0 END, 9) AS target_quantile_{round(100 * q)}" for i, q in enumerate(_Q))
+SELECT id, round(sd, 6) AS target_std, round(CASE WHEN n >= 4 AND m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END, 6) AS target_skewness, round(CASE WHEN n >= 4 AND m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 6) AS target_kurtosis, {r} FROM ce""".format(
+    q=", ".join(f"quantile_cont(y, {q}) AS q{i}" for i, q in enumerate(_Q)), r=", ".join(f"round(CASE WHEN n >= 4 THEN q{i} ELSE 0 END, 6) AS target_quantile_{round(100 * q)}" for i, q in enumerate(_Q))
 )
 
 QUERIES: dict[str, Query] = {
