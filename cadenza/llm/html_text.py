@@ -32,7 +32,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 CLUTTER = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets footer foot masthead topbar "
     "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "pagination pager toc toolbar search form skip hidden tags metadata byline copyright legal disclaimer header".split()
+    "pagination pager toc toolbar search form skip hidden copyright legal disclaimer header".split()
 )
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -203,8 +203,8 @@ def main_text(page: str, threshold: float = 0.2) -> str:
     for path, text, linked in found:
         if not any(path[: len(r)] == r for r in region):
             continue
-        if linked > 0.8 * len(text) and path[-1:] not in [(h,) for h in HEADINGS] and ("li" in path or not _PUNCTUATION.search(text)):
-            continue  # lists of links and link bars
+        if linked > 0.9 * len(text) and path[-1] in ("li", "td", "dd", "dt") and not _PUNCTUATION.search(text):
+            continue  # menus
         keep.append(text)
     return "\n".join(keep)
 

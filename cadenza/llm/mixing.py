@@ -90,6 +90,7 @@ def sampling_rates(
     found = docs.groupBy(*columns).agg(F.sum(F.col(tokens).cast("double")).alias("tokens")).limit(max_cells + 1).collect()
     if len(found) > max_cells:
         raise ValueError(f"more than {max_cells} cells: margins must have few values")
+    found.sort(key=lambda r: [(r[c] is None, str(r[c])) for c in columns])  # sums in one order, whatever the partitions
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("tokens", T.DoubleType()), T.StructField("rate", T.DoubleType())])
     cells = np.array([r["tokens"] or 0.0 for r in found])
     margins, goals = [], []
