@@ -119,10 +119,11 @@ def test_near_dedup_of_one_large_group_compares_few_pairs(spark):
     assert sum(x["n_links"] for x in got) < 400 * 20
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_per_task", [200_000, 60])
+def test_components(spark, edges_per_task):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]
-    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long"), edges_per_task).collect()}
     parent = {x: x for e in edges for x in e}
 
     def find(x):
