@@ -59,7 +59,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that reach Python by bytes, so that very long texts don't pile up."""
+    """Bound the Arrow batches that reach Python by bytes, so that very long texts don't pile up.
+
+    Session settings, since plans read them when they run; they suit other queries as well.
+    """
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
         spark.conf.set(key, value)
 

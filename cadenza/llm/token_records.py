@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import ChunkEncoder, ids_per_document, space_cuts
-from .common import binary, fresh_path, shared_dir, small_batches, text_blocks
+from .common import binary, fresh_path, small_batches, text_blocks
 
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<IB")
 BODY = struct.Struct("<BBq")
@@ -135,16 +135,11 @@ def build_index(spark: SparkSession, path: str, to: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)], ["part", "record", "doc_id", "offset", "bytes", "n_tokens"])
 
-    _one_at_a_time(spark)
+    small_batches(spark)
     _files(spark, path).mapInArrow(walk, INDEX).write.parquet(to)
     return spark.read.schema(INDEX).parquet(to)
 
 
-def _one_at_a_time(spark: SparkSession) -> None:
-    """A batch holds one file: files are of bounded size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-
-
 def read_records(spark: SparkSession, path: str, index: DataFrame, with_ids: bool = True) -> DataFrame:
     """Every document as written, checksums verified: part, record, doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, u32)."""
     schema = "part int, record bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
@@ -167,7 +162,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, with_ids: boo
         kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * with_ids]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "record", "doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    _one_at_a_time(spark)
+    small_batches(spark)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per file
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     # file contents aren't shuffled: the table of files is small by construction (one row per 8 MB of text)
@@ -187,6 +182,3 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int | None, width: in
     write_records(docs, f"{path}/data", tokenizer, end_id, width, id_col, text_col)
     index = build_index(spark, f"{path}/data", f"{path}/index")
     return read_records(spark, f"{path}/data", index, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "part", "record")
-
-
-__all__ = ["build_index", "frame", "frames", "read_records", "read_shuffled", "shared_dir", "token_records", "write_records"]

@@ -148,7 +148,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     packed = docs.mapInArrow(_pack(0, 2048), _GROUP_ROW)
     wanted = asked.mapInArrow(_pack(1, PACK), _GROUP_ROW).drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*packed.columns)
     met = packed.union(wanted).repartition(groups, "part").sortWithinPartitions("part", "role")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     found = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
