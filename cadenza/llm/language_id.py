@@ -137,8 +137,8 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     return Model(names, codes, weights, centre, spread, trust)
 
 
-def language_id(docs: DataFrame, learn: Column, sample_rows: int = 4000, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: list[Column] | None = None) -> DataFrame:
-    """One row per input row: id (or the columns of ``keep``), ``lang_pred``, ``score`` (0 to 1), ``ambiguous``.
+def language_id(docs: DataFrame, learn: Column, sample_rows: int = 4000, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: list[Column] | None = None, with_text: bool = False) -> DataFrame:
+    """One row per input row: id (or the columns of ``keep``), the text if asked for, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``.
 
     Learns from rows where ``learn`` holds and text and label aren't null, at most ``sample_rows`` of them.
     ``und`` with score 0, flagged ambiguous: null texts, texts without a letter, or nothing to learn from. Labels and ids aren't
@@ -166,7 +166,7 @@ def language_id(docs: DataFrame, learn: Column, sample_rows: int = 4000, ambiguo
                 labels[letters] = np.array(m.labels, object)[best[letters]]
                 score[letters] = belief[letters]
                 unsure[letters] = lead[letters] < ambiguous_below
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(labels.tolist(), pa.string()), pa.array(score), pa.array(unsure)], ["row", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch["row"], *[batch["text"]] * with_text, pa.array(labels.tolist(), pa.string()), pa.array(score), pa.array(unsure)], ["row", *["text"] * with_text, "lang_pred", "score", "ambiguous"])
 
-    out = source.mapInArrow(run, f"row {dict(source.dtypes)['row']}, lang_pred string, score double, ambiguous boolean")
-    return out.select("row.*", "lang_pred", "score", "ambiguous")
+    out = source.mapInArrow(run, f"row {dict(source.dtypes)['row']}, {'text string, ' * with_text}lang_pred string, score double, ambiguous boolean")
+    return out.select("row.*", *[F.col("text").alias(text_col)] * with_text, "lang_pred", "score", "ambiguous")

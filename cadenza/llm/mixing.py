@@ -26,10 +26,10 @@ PLANES = 3
 MARGINS = ("source", "lang", "topic")
 
 
-def with_topic(docs: DataFrame, text_col: str = "text", name: str = "topic") -> DataFrame:
-    """``docs`` with ``topic`` (``t0`` .. ``t7``, ``none`` without words) and ``n_words``: the cell of random hyperplanes in which a document's bag of lower-cased words lies."""
+def with_topic(docs: DataFrame, text_col: str = "text", name: str = "topic", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of ``keep`` (default: all) with ``topic`` (``t0`` .. ``t7``, ``none`` without words) and ``n_words``: the cell of random hyperplanes in which a document's bag of lower-cased words lies."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.struct(*(c for c in (keep or docs.columns) if c not in (name, "n_words"))).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in text_blocks(batches):

@@ -26,7 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language, or in none clearly, go; ``lang`` becomes the language found."""
     learn = F.col("lang").isNotNull()
-    found = language_id(docs, learn, ambiguous_below=0.02, keep=[F.col(c) for c in COLUMNS if c != "lang"])
+    found = language_id(docs, learn, ambiguous_below=0.02, keep=[F.col(c) for c in COLUMNS if c not in ("lang", "text")], with_text=True)
     return found.where("lang_pred <> 'und' AND NOT ambiguous").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -44,7 +44,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources, languages and topics are brought to tempered token shares; seven tenths of the tokens stay."""
-    cells = stored(with_topic(docs).select("doc_id", "source", "lang", "topic", "n_words"), "topics")
+    cells = stored(with_topic(docs, keep=("doc_id", "source", "lang")), "topics")
     kept = mix_sources(cells, keep_share=0.7).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
