@@ -26,6 +26,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import binary, mix, row_key, small_batches, span_hash, stored, text_blocks, word_spans
 
@@ -70,24 +72,38 @@ class Lines:
 
 
 # ---------------------------------------------------------------- word order
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
-    for _, data, offs in text_blocks(batches):
-        starts, ends, _ = word_spans(data, offs)
-        counts += np.bincount((span_hash(data, starts, ends) & _U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    if counts.any():
-        parts = counts.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), binary([zstandard.compress(p.tobytes(), 1) for p in parts])], ["chunk", "counts"])
-
-
 def _add_counts(group: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zstandard.decompress(c.as_py()), np.int64) for c in group["counts"])
     return pa.table([group["chunk"].slice(0, 1), binary([(2 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()])], names=["chunk", "ranks"])
 
 
-def word_order(texts: DataFrame) -> np.ndarray:
-    """Rank (0 rare .. 63 frequent) of each slot, from the counts of all words; one megabyte whatever the corpus."""
-    rows = texts.mapInArrow(_count_words, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, ranks binary").collect()
+def _scan(least_words: int, schema: pa.Schema):
+    """A row for each line of enough words, and at the end the word counts of the task, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch, data, offs in text_blocks(batches):
+            lines = Lines(data, offs)
+            if not len(lines.heads):
+                continue
+            counts += np.bincount((lines.h & _U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            lines.sets()
+            use = np.flatnonzero(lines.words >= least_words)
+            rows, none = pa.array(lines.doc[use]), pa.nulls(len(use))
+            columns = [pa.array(lines.sid[use]), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32)), none, none]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        if counts.any():
+            parts = counts.reshape(-1, _CHUNK)
+            none = pa.nulls(len(parts))
+            columns = [*[none] * 5, pa.array(range(len(parts)), pa.int32()), binary([zstandard.compress(p.tobytes(), 1) for p in parts])]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def word_order(counts: DataFrame) -> np.ndarray:
+    """Rank (0 rare .. 63 frequent) of each slot, from the tasks' counts of all words; one megabyte whatever the corpus."""
+    rows = counts.groupBy("chunk").applyInArrow(_add_counts, "chunk int, ranks binary").collect()
     out = np.zeros(SLOTS, np.uint8)
     for r in rows:
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.minimum(np.frombuffer(r["ranks"], np.uint8), 63)
@@ -172,7 +188,7 @@ def _partners(percent: int):
             fits = (n[i] + n[j] - np.bitwise_count(bitmap[i] ^ bitmap[j])) >= 2 * need
             keep[i[fits]] = keep[j[fits]] = True
             step += 1
-        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep]), pa.array(place[keep])], names=["token", "sid", "n", "place"])
+        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep]), pa.array(place[keep]), pa.array(bitmap[keep].view(np.int64))], names=["token", "sid", "n", "place", "map"])
 
     return run
 
@@ -235,35 +251,32 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int) -> DataFrame
     """(k1, k2, lines): numbers of the lines that go, for rows (id, k1, k2, text) that lose any."""
     spark = keyed.sparkSession
     texts = keyed.select("text")
-    order = spark.sparkContext.broadcast(word_order(texts))
+    kind = dict(keyed.dtypes)["id"]
+    layout = T.StructType.fromDDL(f"sid bigint, id {kind}, k1 bigint, k2 bigint, line int, chunk int, counts binary")
+    scanned = stored(keyed.mapInArrow(_scan(least_words, to_arrow_schema(layout)), layout), "lines")
+    lines = scanned.where("chunk IS NULL").select("sid", "id", "k1", "k2", "line")
+    order = spark.sparkContext.broadcast(word_order(scanned.where("chunk IS NOT NULL").select("chunk", "counts")))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(14, max(4, (size // (40 << 20)).bit_length() + 2))
-    members = stored(texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary").groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint"), "members")
-
-    def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in text_blocks(batches):
-            lines = Lines(data, offs)
-            if not len(lines.heads):
-                continue
-            lines.sets()
-            use = np.flatnonzero(lines.words >= least_words)
-            rows = pa.array(lines.doc[use])
-            yield pa.RecordBatch.from_arrays([pa.array(lines.sid[use]), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32))], ["sid", "id", "k1", "k2", "line"])
+    posted = texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary")
+    members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint, map bigint"), "members")
 
-    lines = stored(keyed.mapInArrow(list_lines, f"sid bigint, id {dict(keyed.dtypes)['id']}, k1 bigint, k2 bigint, line int"), "lines")
     place = F.struct("id", "k1", "line")
     firsts = stored(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
 
     known = stored(members.join(firsts.select("sid", "first"), "sid"), "members")
     sets = stored(_word_sets(texts, stored(members.select("sid").distinct(), "wanted")), "sets")
-    earliest = known.groupBy("token").agg(F.min(F.struct("first", "sid", "n")).alias("e"))
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    pairs = stored(known.join(earliest, "token").where("sid <> e.sid").where(near("n", "e.n")).select("sid", F.col("e.sid").alias("rival")).distinct(), "pairs")
+    earliest = known.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "map")).alias("e"))
+    rivals = known.select("token", F.col("sid").alias("rival"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("place").alias("at"), F.col("map").alias("other"))
+    need = F.floor((F.lit(percent) * (F.col("n") + F.col("m")) + F.lit(99 + percent)) / F.lit(100 + percent))
+    # bounds that no similar pair fails: by sizes, and by the bits in which the maps differ
+    possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") + F.col("m") - F.bit_count(F.col("map").bitwiseXOR(F.col("other"))) >= 2 * need)
+    first = earliest.select("token", F.col("e.sid").alias("rival"), F.col("e.n").alias("m"), F.col("e.map").alias("other"))
+    pairs = stored(known.join(first, "token").where("sid <> rival").where(possible).select("sid", "rival").distinct(), "pairs")
     beaten = stored(_beaten(pairs, sets, percent), "beaten")
     open_ = known.join(beaten, "sid", "left_anti")
-    rivals = known.select("token", F.col("sid").alias("rival"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("place").alias("at"))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100.0 + percent) - 1e-9)
-    more = open_.join(rivals, "token").where("before < first").where(near("n", "m")).where(F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= need).select("sid", "rival").distinct()
+    behind = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= need  # what may still match from the common word on
+    more = open_.join(rivals, (open_["token"] == rivals["token"]) & (F.col("before") < F.col("first")) & possible & behind).select("sid", "rival").distinct()
     more = stored(more.join(pairs, ["sid", "rival"], "left_anti"), "pairs")
     beaten = stored(beaten.union(_beaten(more, sets, percent)), "beaten")
 
