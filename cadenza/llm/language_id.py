@@ -6,7 +6,7 @@ of all its trigrams. Decoding sums a logistic loss of the margins against each c
 bit's classifier does on the sample, and takes the codeword with the least sum; a small lead over
 the second flags the document as ambiguous.
 
-Only the fit is on a sample: ``sample_rows`` labelled documents, chosen by a hash of their id and read
+Only the fit is on a sample: ``sample_rows`` labelled documents, chosen by a hash of id and text and read
 whole. Prediction reads every whole text, in numpy over Arrow blocks, without a shuffle.
 """
 
@@ -147,7 +147,11 @@ def language_id(docs: DataFrame, learn: Column, sample_rows: int = 4000, ambiguo
     spark = docs.sparkSession
     small_batches(spark)
     able = docs.where(learn & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    sample = able.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).orderBy("h", "text", "label").limit(sample_rows).collect()
+    able = able.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    # hashes below this bound: half as many again as are taken, so that tasks send little more than the sample
+    bound = min(1.0, 1.5 * sample_rows / max(1, able.count()))
+    near = able.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < bound) if bound < 1 else able
+    sample = near.orderBy("h", "label", "text").limit(sample_rows).collect()
     model = spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["label"] for r in sample]))
     kept = keep if keep is not None else [F.col(id_col)]
     source = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
