@@ -126,7 +126,8 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
             weights[b] = np.log(one.mean(0) + smooth) - np.log(other.mean(0) + smooth)
     weights[:, SLOTS] = 0
     plain = Model(names, codes, weights, np.zeros(len(weights)), np.ones(len(weights)), np.ones(len(weights)))
-    margins = plain.margins(data, offs)
+    steps = range(0, len(raw), 200)  # the driver's memory holds the temporaries of some documents only
+    margins = np.concatenate([plain.margins(data[offs[k] : offs[min(k + 200, len(raw))]], offs[k : k + 201] - offs[k]) for k in steps])
     centre, spread, trust = np.zeros(len(weights)), np.ones(len(weights)), np.ones(len(weights))
     for b, column in enumerate(codes.T):
         truth = column[which]
