@@ -8,7 +8,7 @@ similarity of at least the threshold; earlier means a smaller document id, then
    filtered by length, by position (what may still match behind it) and by a 64-bit map of
    the words (bits that differ bound the overlap); members with no partner left drop out there. What
    is left is a small table of (word, set).
-3. Each set is compared with the earliest of each of its groups, on whole word sets, read in a second scan
+3. Each set is compared with the earliest of all that lead its groups, on whole word sets, read in a second scan
    for the sets concerned only. Sets that have found an earlier partner are done. The others are
    compared with every earlier member of their groups that passes the filters.
 4. Lines that aren't the first of their set, and lines of sets with an earlier partner, leave the documents.
@@ -205,8 +205,19 @@ def _filter_bits(column: str):
     return run
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray((np.sort(tokens) >> _U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(words: pa.BinaryScalar) -> np.ndarray:
+    raw = np.frombuffer(words.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
+
+
 def _word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, words: 8-byte hashes, ascending) of the wanted sets, from a scan that a filter of fixed size makes skip most other lines."""
+    """(sid, words: six bytes of each hash) of the wanted sets, from a scan that a filter of fixed size makes skip most other lines."""
     parts = wanted.repartition(4).mapInArrow(_filter_bits("sid"), "bits binary").collect()  # four parts of at most 4 MB
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for p in parts:
@@ -222,7 +233,7 @@ def _word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             slot = (lines.sid.view(np.uint64) & _U64(FILTER_BITS - 1)).astype(np.int64)
             hit = np.flatnonzero((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
             sids, first = np.unique(lines.sid[hit], return_index=True)
-            words = [np.sort(lines.token[lines.at[k] : lines.at[k + 1]]).astype("<u8").tobytes() for k in hit[first].tolist()]
+            words = [_packed(lines.token[lines.at[k] : lines.at[k + 1]]) for k in hit[first].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(sids), binary(words)], ["sid", "words"])
 
     return texts.mapInArrow(run, "sid bigint, words binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
@@ -233,7 +244,7 @@ def _linked(percent: int):
         for batch in batches:
             hit = []
             for x, y in zip(batch["words"], batch["other"], strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                a, b = _unpacked(x), _unpacked(y)
                 common = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
                 hit.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch["sid"].filter(pa.array(hit, pa.bool_()))], ["sid"])
@@ -271,8 +282,9 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int) -> DataFrame
     need = F.floor((F.lit(percent) * (F.col("n") + F.col("m")) + F.lit(99 + percent)) / F.lit(100 + percent))
     # bounds that no similar pair fails: by sizes, and by the bits in which the maps differ
     possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") + F.col("m") - F.bit_count(F.col("map").bitwiseXOR(F.col("other"))) >= 2 * need)
-    first = earliest.select("token", F.col("e.sid").alias("rival"), F.col("e.n").alias("m"), F.col("e.map").alias("other"))
-    pairs = stored(known.join(first, "token").where("sid <> rival").where(possible).select("sid", "rival").distinct(), "pairs")
+    first = earliest.select("token", F.col("e.first").alias("before"), F.col("e.sid").alias("rival"), F.col("e.n").alias("m"), F.col("e.map").alias("other"))
+    one = known.join(first, "token").where("sid <> rival").where(possible).groupBy("sid").agg(F.min(F.struct("before", "rival")).alias("r"))
+    pairs = stored(one.select("sid", F.col("r.rival").alias("rival")), "pairs")
     beaten = stored(_beaten(pairs, sets, percent), "beaten")
     open_ = known.join(beaten, "sid", "left_anti")
     behind = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= need  # what may still match from the common word on
