@@ -4,7 +4,8 @@ A line is a set of distinct words. It goes when an earlier line of the corpus, k
 similarity of at least the threshold; earlier means a smaller document id, then a smaller line number.
 
 1. Word counts over all documents, in a table of fixed size, give the order of words: rare ones first.
-2. Each set's prefix in that order is posted to buckets of words. Within a word's group, pairs are
+2. Each set's prefix in that order is posted to buckets of words; sets so small that only an equal one is
+   similar enough (up to three words at 0.8) aren't, step 4 needs no more than their count. Within a word's group, pairs are
    filtered by length, by position (what may still match behind it) and by a 64-bit map of
    the words (bits that differ bound the overlap); members with no partner left drop out there. What
    is left is a small table of (word, set).
@@ -126,8 +127,9 @@ def _post(order, percent: int, least_words: int, bits: int):
             _, first = np.unique(lines.sid, return_index=True)
             chosen = np.zeros(len(lines.sid), bool)
             chosen[first] = True
-            chosen &= lines.words >= least_words
             n = lines.n
+            # a set that no other one can be similar enough to: its repeats are counted by sid
+            chosen &= (lines.words >= least_words) & (100 * n >= percent * (n + 1))
             bitmap = np.bitwise_or.reduceat(_U64(1) << (lines.token >> _U64(58)), lines.at[:-1])
             place = np.arange(len(lines.token)) - np.repeat(lines.at[:-1], n)
             length = n - -(-percent * n // 100) + 1

@@ -41,8 +41,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines that have an earlier line of 80 % equal words."""
-    docs = line_dedup(table(spark, sf_dir, "documents"))
+    """Documents without lines that have an earlier line of 80 % equal words; all lines with a word count."""
+    docs = line_dedup(table(spark, sf_dir, "documents"), least_words=1)
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -31,8 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, documents that lose all their words with them."""
-    left = line_dedup(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    """Lines that repeat an earlier line go, however short, documents that lose all their words with them."""
+    left = line_dedup(docs, least_words=1).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return left.where(r"n_dropped = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'").select(*COLUMNS)
 
 
