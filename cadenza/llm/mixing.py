@@ -2,7 +2,9 @@
 
 Token counts are summed per cell (source, language, topic); a factor per value of each margin is
 raked in turn until the cells' weighted tokens meet the target shares of all three margins. The cells'
-weights become sampling probabilities: scaled so that no document's probability exceeds one, then a
+weights become sampling probabilities by raking once more with no probability above one: cells that reach
+one stay whole and the others make up for them. Where the share to keep leaves a value too few tokens
+for its target, the largest smaller share at which all targets are met is kept. A
 document stays when a hash of its id, uniform in [0, 1), is below its cell's probability.
 
 The cell table is bounded by the numbers of sources, languages and topics, not by documents; it is
@@ -76,6 +78,44 @@ def rake(cells: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray]
     return weight
 
 
+def bounded(cells: np.ndarray, margins: list[np.ndarray], goals: list[np.ndarray], start: np.ndarray, rounds: int = 500, tolerance: float = 1e-3) -> tuple[np.ndarray, bool]:
+    """Rates of at most one, ``start`` times a factor per value of each margin, and whether they bring every margin to ``goals`` (tokens) within ``tolerance`` of each goal."""
+    weight = start.astype(float)
+    for _ in range(rounds):
+        for index, goal in zip(margins, goals, strict=True):
+            factor = np.zeros(len(goal))
+            full = np.zeros(len(cells), bool)
+            while True:  # Newton from below on a concave, piecewise linear function: ends when no more cells fill up
+                free = np.bincount(index, np.where(full, 0.0, cells * weight), len(goal))
+                rest = goal - np.bincount(index, np.where(full, cells, 0.0), len(goal))
+                factor = np.maximum(factor, np.divide(rest, free, out=np.zeros_like(free), where=free > 0))
+                more = full | (weight * factor[index] >= 1)
+                if (more == full).all():
+                    break
+                full = more
+            weight = np.minimum(weight * factor[index], 1e100)
+        kept = cells * np.minimum(1, weight)
+        if all((np.abs(np.bincount(index, kept, len(goal)) - goal) <= tolerance * goal).all() for index, goal in zip(margins, goals, strict=True)):
+            return np.minimum(1, weight), True
+    return np.minimum(1, weight), False
+
+
+def calibrated(cells: np.ndarray, margins: list[np.ndarray], weight: np.ndarray, keep_share: float) -> np.ndarray:
+    """Rates of at most one that keep the shares that ``weight`` gives along every margin, and of all tokens ``keep_share`` or, where that can't be, the largest part at which it can."""
+    total, used = cells.sum(), cells > 0
+    weight = weight * (total / (cells * weight).sum())
+    shares = [np.bincount(index, cells * weight) / total for index in margins]
+    low = min(keep_share, 1 / weight[used].max())  # weights that are only scaled down
+    rate = np.minimum(1, low * weight)
+    high = min(keep_share, *((np.bincount(i, cells)[t > 0] / (t[t > 0] * total)).min() for i, t in zip(margins, shares, strict=True)))
+    share = high
+    while high - low > 1e-3 * high:
+        tried, met = bounded(cells, margins, [t * share * total for t in shares], share * weight)
+        low, high, rate = (share, high, tried) if met else (low, share, rate)
+        share = (low + high) / 2
+    return rate
+
+
 def tempered(counts: np.ndarray, power: float) -> np.ndarray:
     """Shares in proportion to counts ** power: under one, large values are held back."""
     x = np.where(counts > 0, np.maximum(counts, 1e-300) ** power, 0.0)
@@ -103,15 +143,8 @@ def sampling_rates(
         goals.append(np.array([float(own.get(v, 0.0)) for v in values]) if own is not None else tempered(counts, power))
     weight = rake(cells, margins, goals) if len(found) else cells
     rate = np.zeros(len(found))
-    if cells.sum() > 0 and weight.max() > 0:
-        # the largest scale at which the kept tokens are the share asked for, with no rate above one
-        low, high = 0.0, 1.0
-        while (cells * np.minimum(1, high * weight)).sum() < keep_share * (cells * (weight > 0)).sum() * (1 - 1e-12) and high < 1e12:
-            low, high = high, 2 * high
-        for _ in range(100):
-            mid = (low + high) / 2
-            low, high = (mid, high) if (cells * np.minimum(1, mid * weight)).sum() < keep_share * cells.sum() else (low, mid)
-        rate = np.minimum(1, high * weight)
+    if (cells * weight).sum() > 0:
+        rate = calibrated(cells, margins, weight, keep_share)
     rows = [(*(r[c] for c in columns), float(n), float(p)) for r, n, p in zip(found, cells, rate, strict=True)]
     return spark.createDataFrame(rows, schema)
 
@@ -127,7 +160,8 @@ def mix_sources(
     """The sampled rows of ``docs`` with ``rate``, the probability with which a document of its cell stays.
 
     ``targets``: shares by column and value; a column without an entry aims at its token shares to the ``power``,
-    values without an entry at zero. Documents stay or go by a hash of id and cell: the same in every run. Rows that
+    values without an entry at zero. The expected shares meet the targets; ``keep_share`` of the tokens stays, or as much less as
+    that takes. Documents stay or go by a hash of id and cell: the same in every run. Rows that
     repeat an id stay or go together within a cell. Null margins are a value of their own; null token counts are zero, and
     cells without tokens have rate zero when raked away, else their cell's.
     """

@@ -43,7 +43,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources, languages and topics are brought to tempered token shares; seven tenths of the tokens stay."""
+    """Sources, languages and topics are brought to tempered token shares; seven tenths of the tokens stay, or as much less as the shares take."""
     cells = stored(with_topic(docs, keep=("doc_id", "source", "lang")), "topics")
     kept = mix_sources(cells, keep_share=0.7).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)

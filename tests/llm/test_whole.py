@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadenza.llm import line_dedup as lines_
+from cadenza.llm import mixing
 from cadenza.llm.queries import QUERIES
 
 from .test_dedup import brute_lines, frame
@@ -42,3 +44,24 @@ def test_op4_and_the_line_stage_take_short_lines(spark, tmp_path):
     assert {x["doc_id"]: x["n_dropped"] for x in got} == {i: len(gone[i]) for i, _ in rows}
     left = corpus_pipeline.line_stage(spark, docs, "unused").collect()
     assert {x["doc_id"]: x["text"] for x in left} == {i: t for i, t in without(rows, gone).items() if t.split()}
+
+
+def test_mixing_meets_its_targets_at_the_share_of_op3(spark):
+    r = random.Random(31)
+    rows = [(k, "hot" if r.random() < 0.33 else f"s{k % 12}", r.choices(["en", "de", "fr", "es"], [60, 15, 15, 10])[0], f"t{int(r.paretovariate(1.2)) % 8}", r.randrange(1, 200)) for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_words long")
+    rates = mixing.sampling_rates(df, mixing.MARGINS, "n_words", None, 0.7, 0.7, 10_000).toPandas()
+    kept = rates["tokens"] * rates["rate"]
+    assert 0.2 < kept.sum() / rates["tokens"].sum() <= 0.7 + 1e-9 and rates["rate"].max() <= 1
+    for c in mixing.MARGINS:
+        goal = (rates["tokens"].groupby(rates[c]).sum()) ** 0.7
+        now = kept.groupby(rates[c]).sum()
+        assert (abs(now / now.sum() / (goal / goal.sum()) - 1) < 0.005).all()
+
+
+def test_bounded_rates_make_up_for_cells_that_are_full():
+    cells, margins, goals = np.array([10.0, 90.0, 90.0, 10.0]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([60.0, 60.0]), np.array([50.0, 70.0])]
+    rate, met = mixing.bounded(cells, margins, goals, np.array([3.0, 0.5, 0.5, 3.0]))
+    assert met and rate.max() == 1
+    for index, goal in zip(margins, goals, strict=True):
+        assert np.allclose(np.bincount(index, cells * rate), goal, rtol=2e-3)
