@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes blocks: runs of text between block-level tags, each with its root-to-leaf path of
-block-level tags. Subtrees that never are content (scripts, forms, navigation, by tag, role or the words of class and id) are
-left out. Per path, text length and punctuation are summed and divided by the number of its
+block-level tags. Subtrees that never are content (scripts, navigation) are left out, those that look like clutter (forms, headers, or
+by role or names in class and id) unless they hold most of the page's text outside links. Per path, text length and punctuation are summed and divided by the number of its
 blocks; both ratios are smoothed over the neighbouring blocks and fused by their product. Paths whose best fused value passes the
 threshold are content paths; the region they share, and the headings and short
 blocks within it, is the article.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 # Names of HTML elements, and words that pages use for what isn't content.
-SKIPPED = frozenset("script style noscript template svg math canvas iframe object embed audio video map select option datalist button textarea form fieldset input label nav footer aside menu dialog head title".split())
+SKIPPED = frozenset("script style noscript template svg math canvas iframe object embed audio video map select option datalist button textarea input nav footer aside menu dialog title".split())
+#: Left out like those, unless they hold most of the page, as do elements that their role, class or id marks.
+WRAPPERS = frozenset("form fieldset label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -34,6 +36,8 @@ CLUTTER = frozenset(
     "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager toc toolbar search form skip hidden copyright legal disclaimer header".split()
 )
+#: Parts of names that say nothing of what an element holds: 'nav-left' is clutter as 'nav' is, 'has-sidebar' or 'main-header-layout' isn't.
+NEUTRAL = frozenset("container area wrapper wrap box list left right top bottom block inner outer links link icons buttons bar items item site primary secondary mobile".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -42,48 +46,70 @@ _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 
-def _clutter(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id has a name made of clutter words alone."""
+    return any(any(w in CLUTTER for w in parts) and all(w in CLUTTER or w in NEUTRAL for w in parts) for parts in map(_WORD.findall, value.split()))
+
+
+def _clutter(tag: str, attributes: str, in_article: bool) -> int:
+    """0: content; 1: clutter unless it holds most of the page; 2: clutter."""
     if tag in SKIPPED:
-        return True
-    if tag == "header" and not in_article:
-        return True
+        return 2
+    found = int(tag in WRAPPERS or (tag == "header" and not in_article))
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return 2
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and any(w in CLUTTER for w in _WORD.findall(value)) and not (in_article and tag in HEADINGS | {"header"}):
-            return True
-    return False
+            found = 1
+        if name in ("class", "id") and _named(value) and not (in_article and tag in HEADINGS | {"header"}):
+            found = 1
+    return found
+
+
+def _without_clutter(raw: list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]]) -> list[tuple[tuple[str, ...], str, int]]:
+    """Blocks without the parts in marked elements that hold at most half of the page's text outside links."""
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for _, parts in raw:
+        for text, linked, marks in parts:
+            n = 0 if linked else sum(map(len, text.split()))
+            total += n
+            for k in marks:
+                held[k] += n
+    out = []
+    for path, parts in raw:
+        use = [(text, linked) for text, linked, marks in parts if all(2 * held[k] > total for k in marks)]
+        text = " ".join(html.unescape("".join(t for t, _ in use)).split())
+        if text:
+            out.append((path, text, min(sum(len(t) for t, linked in use if linked), len(text))))
+    return out
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block with text, clutter left out, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it is a block, whether clutter starts here
+    out: list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, whether it is a block, what clutter starts here
     path: list[str] = []
-    parts: list[str] = []
-    cluttered, links, articles, in_links = 0, 0, 0, 0
+    parts: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, the marked elements around it
+    marks: tuple[int, ...] = ()
+    cluttered, links, articles, marked = 0, 0, 0, 0
 
     def close_block() -> None:
-        nonlocal in_links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append((tuple(path), text, min(in_links, len(text))))
+            out.append((tuple(path), parts.copy()))
             parts.clear()
-        in_links = 0
 
     def pop() -> None:
-        nonlocal cluttered, links, articles
+        nonlocal cluttered, links, articles, marks
         tag, block, bad = stack.pop()
         if block:
             close_block()
             path.pop()
-        cluttered -= bad
+        cluttered -= bad == 2
+        marks = marks[:-1] if bad == 1 else marks
         links -= tag == "a"
         articles -= tag in ("article", "main")
 
@@ -92,9 +118,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not cluttered:
-            parts.append(text)
-            if links:
-                in_links += len(text)
+            parts.append((text, links > 0, marks))
         if not m:
             break
         at = m.end()
@@ -115,7 +139,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag in ("br", "hr", "wbr"):
             if not cluttered and tag != "wbr":
-                parts.append(" ")
+                parts.append((" ", False, marks))
             if tag == "hr":
                 close_block()
             continue
@@ -148,7 +172,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if attributes and attributes.endswith("/") and not block:
             continue
         stack.append((tag, block, bad))
-        cluttered += bad
+        cluttered += bad == 2
+        if bad == 1:
+            marked += 1
+            marks = (*marks, marked)
         links += tag == "a"
         articles += tag in ("article", "main")
         if block:
@@ -156,7 +183,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     while stack:
         pop()
     close_block()
-    return out
+    return _without_clutter(out)
 
 
 def _smooth(values: list[float], width: int = 1) -> list[float]:

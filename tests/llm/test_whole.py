@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cadenza.llm import line_dedup as lines_
 from cadenza.llm import mixing
+from cadenza.llm.html_text import main_text
 from cadenza.llm.queries import QUERIES
 
 from .test_dedup import brute_lines, frame
@@ -65,3 +66,24 @@ def test_bounded_rates_make_up_for_cells_that_are_full():
     assert met and rate.max() == 1
     for index, goal in zip(margins, goals, strict=True):
         assert np.allclose(np.bincount(index, cells * rate), goal, rtol=2e-3)
+
+
+TEXT = "First paragraph of the page, with commas, and a full stop.\nSecond paragraph, also of some length, to the end."
+BODY = "".join(f"<p>{t}</p>" for t in TEXT.split("\n"))
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class=no-sidebar", "div class=side-by-side", "div class=main-header-layout", "div id=legal-text", "div class=sidebar", "div role=form", "form method=post", "header"])
+def test_wrappers_that_hold_the_page_are_kept(wrapper):
+    assert main_text(f"<html><head><title>T</title></head><body><{wrapper}><article>{BODY}</article></{wrapper.split()[0]}></body></html>") == TEXT
+    assert main_text(f"<body><{wrapper}>{BODY}</{wrapper.split()[0]}><footer>All rights.</footer></body>") == TEXT
+
+
+def test_small_marked_elements_still_go():
+    for name in ("ad", "cookie-notice", "nav-left", "widget area"):
+        assert main_text(f"<body><article>{BODY}<div class='{name}'>Buy this, now.</div></article></body>") == TEXT
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<title>T</title>"])
+def test_head_without_an_end_tag(head):
+    assert main_text(f"<!DOCTYPE html><html>{head}<body><article>{BODY}</article></body></html>") == TEXT
+    assert main_text(f"<!DOCTYPE html><html>{head}{BODY}</html>") == TEXT
