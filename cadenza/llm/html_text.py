@@ -2,10 +2,10 @@
 
 A page becomes blocks: runs of text between block-level tags, each with its root-to-leaf path of
 block-level tags. Subtrees that never are content (scripts, navigation) are left out, those that look like clutter (forms, headers, or
-by role or names in class and id) unless they hold most of the page's text outside links. Per path, text length and punctuation are summed and divided by the number of its
+by role or names in class and id) unless they hold most of the page's text outside links (article and main beside them weigh more). Per path, text length and punctuation are summed and divided by the number of its
 blocks; both ratios are smoothed over the neighbouring blocks and fused by their product. Paths whose best fused value passes the
-threshold are content paths; the region they share, and the headings and short
-blocks within it, is the article.
+threshold, in article or main half of it, are content paths: their blocks are the text, with the blocks beside them in the same
+element and the headings before them.
 """
 
 from __future__ import annotations
@@ -70,18 +70,21 @@ def _clutter(tag: str, attributes: str, in_article: bool) -> int:
 
 
 def _without_clutter(raw: list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]]) -> list[tuple[tuple[str, ...], str, int]]:
-    """Blocks without the parts in marked elements that hold at most half of the page's text outside links."""
+    """Blocks without the parts in marked elements that hold less text outside links than the rest of the page; what is in article or main counts four times there."""
     held: dict[int, int] = defaultdict(int)
+    weighed: dict[int, int] = defaultdict(int)
     total = 0
-    for _, parts in raw:
+    for path, parts in raw:
+        weight = 4 if "article" in path or "main" in path else 1
         for text, linked, marks in parts:
             n = 0 if linked else sum(map(len, text.split()))
-            total += n
+            total += weight * n
             for k in marks:
                 held[k] += n
+                weighed[k] += weight * n
     out = []
     for path, parts in raw:
-        use = [(text, linked) for text, linked, marks in parts if all(2 * held[k] > total for k in marks)]
+        use = [(text, linked) for text, linked, marks in parts if all(held[k] > total - weighed[k] for k in marks)]
         text = " ".join(html.unescape("".join(t for t, _ in use)).split())
         if text:
             out.append((path, text, min(sum(len(t) for t, linked in use if linked), len(text))))
@@ -213,27 +216,36 @@ def main_text(page: str, threshold: float = 0.2) -> str:
     best: dict[tuple[str, ...], float] = {}
     for (p, _, _), v in zip(found, fused, strict=True):
         best[p] = max(best.get(p, 0.0), v)
-    chosen = [p for p, v in best.items() if v >= threshold * max(best.values()) and sums[p][0] > 0] or list(best)
-    inside = [p for p in chosen if "article" in p or "main" in p]
-    if inside:  # the page itself tells where its article is
-        tag = "article" if any("article" in p for p in inside) else "main"
-        region = [p[: p.index(tag) + 1] for p in inside if tag in p]
-    else:
-        top = max(chosen, key=lambda p: (sums[p][0], best[p]))
-        cut = 0
-        for k in range(len(top)):
-            held = sum(s[0] for p, s in sums.items() if p[: k + 1] == top[: k + 1])
-            if held >= 0.7 * sum(s[0] for s in sums.values()) and top[k] not in ("p", "li", "td", "tr", *HEADINGS):
-                cut = k + 1
-        region = [top[:cut]]
-    keep = []
-    for path, text, linked in found:
-        if not any(path[: len(r)] == r for r in region):
-            continue
-        if linked > 0.9 * len(text) and path[-1] in ("li", "td", "dd", "dt") and not _PUNCTUATION.search(text):
-            continue  # menus
-        keep.append(text)
-    return "\n".join(keep)
+    # article and main lower the bar for what is in them, and take nothing from other paths
+    bar = threshold * max(best.values())
+    chosen = {p for p, v in best.items() if v * (2 if "article" in p or "main" in p else 1) >= bar and sums[p][0] > 0} or set(best)
+    menu = [linked > 0.9 * len(text) and path[-1:] in (("li",), ("td",), ("dd",), ("dt",)) and not _PUNCTUATION.search(text) for path, text, linked in found]
+    return "\n".join(text for (_, text, _), k, m in zip(found, _with_neighbours([p for p, _, _ in found], chosen), menu, strict=True) if k and not m)
+
+
+def _with_neighbours(paths: list[tuple[str, ...]], chosen: set[tuple[str, ...]]) -> list[bool]:
+    """Which blocks are content: those of chosen paths, the others of their elements that follow on without a gap, and headings before them."""
+    keep = [p in chosen for p in paths]
+    out = keep.copy()
+    for order in (range(len(paths)), range(len(paths) - 1, -1, -1)):
+        around: tuple[str, ...] = ()  # the element that holds the last content block
+        for k in order:
+            if keep[k]:
+                around = paths[k][:-1]
+            elif around and around[-1] not in ("html", "body") and paths[k][: len(around)] == around:
+                out[k] = True
+            else:
+                around = ()
+    near = False
+    for k in range(len(paths) - 1, -1, -1):
+        near = out[k] or (near and paths[k][-1:] != () and paths[k][-1] in HEADINGS)
+        out[k] = near
+    # in a page without elements around its blocks: short ones between two of the content
+    ends = [k for k, x in enumerate(out) if x]
+    for a, b in zip(ends, ends[1:]):
+        if b - a <= 4 and all(len(paths[k]) <= len(paths[a]) + 1 and paths[k][: len(paths[a]) - 1] == paths[a][:-1] == paths[b][:-1] for k in range(a + 1, b)):
+            out[a + 1 : b] = [True] * (b - a - 1)
+    return out
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

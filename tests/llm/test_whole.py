@@ -81,9 +81,36 @@ def test_wrappers_that_hold_the_page_are_kept(wrapper):
 def test_small_marked_elements_still_go():
     for name in ("ad", "cookie-notice", "nav-left", "widget area"):
         assert main_text(f"<body><article>{BODY}<div class='{name}'>Buy this, now.</div></article></body>") == TEXT
+    assert main_text("<body><div class=ad>Buy this, now, it is the best of all.</div><article><p>A short text, but the page's.</p></article></body>") == "A short text, but the page's."
 
 
 @pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<title>T</title>"])
 def test_head_without_an_end_tag(head):
     assert main_text(f"<!DOCTYPE html><html>{head}<body><article>{BODY}</article></body></html>") == TEXT
     assert main_text(f"<!DOCTYPE html><html>{head}{BODY}</html>") == TEXT
+
+
+LONG = [f"Sentence {k} of the text, which says this and that, and comes to its end after some words. " * 4 for k in range(6)]
+
+
+def test_text_beside_article_cards_is_kept():
+    cards = "".join(f"<article><h3>Card {k}</h3><p>{'A teaser of another page, with a comma, and some more words for its ratio to count. ' * 2}</p></article>" for k in range(4))
+    text = "".join(f"<p>{t}</p>" for t in LONG)
+    want = [t.strip() for t in LONG]
+    for page in (f"<div class=text>{text}</div><div class=cards>{cards}</div>", f"<div class=cards>{cards}</div><div class=text>{text}</div>"):
+        got = main_text(f"<html><body>{page}</body></html>").split("\n")
+        assert [t for t in got if t in want] == want
+
+
+def test_paths_below_the_threshold_go_without_a_common_container():
+    links = "".join(f"<div><span>Item {k}</span></div>" for k in range(30))
+    page = f"<html><body><div><div>{links}</div><section><h2>Head</h2>{''.join(f'<p>{t}</p>' for t in LONG[:3])}<ul><li>One<li>Two</ul></section><blockquote>{''.join(f'<p>{t}</p>' for t in LONG[3:])}</blockquote></div></body></html>"
+    assert main_text(page).split("\n") == ["Head", *(t.strip() for t in LONG[:3]), "One", "Two", *(t.strip() for t in LONG[3:])]
+
+
+def test_short_blocks_among_the_text_stay():
+    rows = "".join(f"<tr><td>a{k}<td>b{k}</tr>" for k in range(12))
+    inner = f"<h1>Title</h1><p>{LONG[0]}</p><h2>Part</h2><table>{rows}</table><p>Sh is.</p><p>{LONG[1]}</p><pre>x = 1</pre>"
+    want = ["Title", LONG[0].strip(), "Part", *(f"{c}{k}" for k in range(12) for c in "ab"), "Sh is.", LONG[1].strip(), "x = 1"]
+    for tag in ("article", "main", "div"):
+        assert main_text(f"<body><{tag}>{inner}</{tag}></body>").split("\n") == want
