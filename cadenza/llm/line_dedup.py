@@ -124,12 +124,12 @@ def _post(order, percent: int, least_words: int, bits: int):
             if not len(lines.heads):
                 continue
             lines.sets(order.value)
-            _, first = np.unique(lines.sid, return_index=True)
-            chosen = np.zeros(len(lines.sid), bool)
-            chosen[first] = True
             n = lines.n
-            # a set that no other one can be similar enough to: its repeats are counted by sid
-            chosen &= (lines.words >= least_words) & (100 * n >= percent * (n + 1))
+            # a set that no other one can be similar enough to isn't posted: its repeats are counted by sid
+            enough = np.flatnonzero((lines.words >= least_words) & (100 * n >= percent * (n + 1)))
+            _, first = np.unique(lines.sid[enough], return_index=True)
+            chosen = np.zeros(len(n), bool)
+            chosen[enough[first]] = True
             bitmap = np.bitwise_or.reduceat(_U64(1) << (lines.token >> _U64(58)), lines.at[:-1])
             place = np.arange(len(lines.token)) - np.repeat(lines.at[:-1], n)
             length = n - -(-percent * n // 100) + 1

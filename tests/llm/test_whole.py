@@ -35,6 +35,12 @@ def test_short_lines_against_brute_force(spark, percent):
     assert {x["doc_id"]: x["text"] for x in got} == without(rows, brute_lines(rows, percent, 1))
 
 
+def test_a_shorter_line_of_the_same_words_hides_no_line(spark):
+    rows = [(0, "a b c d e"), (1, "a b c d\na b c d a")]
+    got = lines_.line_dedup(frame(spark, rows), least_words=5).collect()
+    assert {x["doc_id"]: x["text"] for x in got} == {0: "a b c d e", 1: "a b c d"} == without(rows, brute_lines(rows, 80, 5))
+
+
 def test_op4_and_the_line_stage_take_short_lines(spark, tmp_path):
     rows = short_lines()
     gone = brute_lines(rows, 80, 1)
