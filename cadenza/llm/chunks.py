@@ -13,10 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import SEPARATOR, span_hash, word_spans
+from .common import SEPARATOR, distinct_spans, word_spans
 
-#: Chunks that a worker remembers; beyond it the cache starts afresh.
-CACHE_ENTRIES = 400_000
+#: Bytes that a worker's cache may take (its objects included).
+CACHE_BYTES = 80 << 20
+#: Bytes of the objects behind an entry besides what they hold.
+_ENTRY = 190
 
 #: First bytes of the non-ASCII characters among which Unicode has white space.
 _MAYBE_SPACE_LEAD = np.zeros(256, bool)
@@ -60,32 +62,43 @@ def space_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ChunkEncoder:
-    """Ids of the chunks of some blocks; ``encode(list of chunk bytes)`` gives a list of id lists and is called once for all blocks."""
+    """Ids of the chunks of some blocks; ``encode(list of chunk bytes)`` gives a list of id lists and is called once for all blocks.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode, self.cache = encode, {}
+    Chunks are known by their bytes, not by a hash. The cache has two halves: what is met again moves to the new one,
+    and when that is full, the old one goes.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_BYTES):
+        self.encode, self.limit, self.size = encode, limit, 0
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block (bytes, first byte and end of each chunk): all ids in order, and the number of ids of each chunk."""
-        plans, new, chunks = [], {}, []
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
+        if self.size > self.limit // 2:
+            self.old, self.cache, self.size = self.cache, {}, 0
+        cache, old, plans, new = self.cache, self.old, [], {}
         for data, starts, ends in blocks:
-            distinct, first, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-            keys = distinct.tolist()
+            first, which = distinct_spans(data, starts, ends)
+            raw = data.tobytes()
+            keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             plans.append((keys, which))
-            if missing := [i for i, k in enumerate(keys) if k not in cache and k not in new]:
-                at, raw = first[missing], data.tobytes()
-                for i, s, e in zip(missing, starts[at].tolist(), ends[at].tolist(), strict=True):
-                    new[keys[i]] = len(chunks)
-                    chunks.append(raw[s:e])
-        if chunks:
-            for key, ids in zip(new, self.encode(chunks), strict=True):
-                cache[key] = struct.pack(f"<{len(ids)}I", *ids)
+            for k in keys:
+                if k not in cache:
+                    if k in old:
+                        self._keep(k, old[k])
+                    else:
+                        new[k] = None
+        if new:
+            for key, ids in zip(new, self.encode(list(new)), strict=True):
+                self._keep(key, struct.pack(f"<{len(ids)}I", *ids))
         return [self._gather(*plan) for plan in plans]
 
-    def _gather(self, keys: list[int], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, key: bytes, value: bytes) -> None:
+        self.cache[key] = value
+        self.size += len(key) + len(value) + _ENTRY
+
+    def _gather(self, keys: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [self.cache[k] for k in keys]
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, heads = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens

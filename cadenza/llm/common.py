@@ -8,6 +8,8 @@ found on raw bytes.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +51,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage is cut, losing executors costs nothing.
+    """``df`` written once to the shared folder and read again: lineage is cut, losing executors costs nothing."""
+    return Tables(df.sparkSession).stored(df, name)
 
-    What was shuffled on the way is then garbage, but Spark deletes it only when the driver's JVM collects: it is asked to.
-    """
-    spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+class Tables:
+    """Tables in the shared folder that one operator writes on its way and deletes when what it returns no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        schema, path = df.schema, fresh_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        self._free()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables so far. Only what has been written elsewhere may still be read."""
+        if jvm := getattr(self.spark, "_jvm", None):
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            for p in self.paths:
+                where = jvm.org.apache.hadoop.fs.Path(p)
+                where.getFileSystem(conf).delete(where, True)
+        self.paths = []
+
+    def _free(self) -> None:
+        """What was shuffled on the way is garbage now, but Spark deletes it only when the driver's JVM collects: ask it to, where there is one."""
+        if jvm := getattr(self.spark, "_jvm", None):
+            jvm.System.gc()
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the machine: workers are reused, and what one task frees isn't the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -92,7 +124,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of at most ``limit`` bytes of text (a longer row alone), each with its bytes and offsets."""
+    """Slices of at most ``limit`` bytes of text (a longer row alone), each with its bytes and offsets; freed memory is returned after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,6 +135,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             part = batch.slice(at, to - at)
             yield (part, *text_buffers(part.column(text)))
             at = to
+    trim()
 
 
 # ---------------------------------------------------------------- words and hashes
@@ -110,10 +143,14 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.default_rng(20240611)
-#: A random odd factor for each byte value, and the base of the polynomial over positions.
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
-_BASE = _U64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 .. 8 bytes of a little-endian lane.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_GOLD = _U64(0x9E3779B97F4A7C15)
+#: Lanes of a span that are chained; those behind are summed by position.
+_CHAINED = 8
+#: The modulus of Rabin-Karp hashes, a Mersenne prime, and a fixed random base below it.
+PRIME = (1 << 61) - 1
+BASE = 0x1C80F2B5F6A8E4D3 % PRIME
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -140,42 +177,99 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SEPARATOR[data]
+    word = (data != 32) & ((data - np.uint8(9)) > 4)
     heads = offs[:-1][offs[:-1] < offs[1:]]
-    before = np.empty_like(word)
-    before[0], before[1:] = False, word[:-1]
-    before[heads] = False
-    after = np.empty_like(word)
-    after[-1], after[:-1] = False, word[1:]
-    after[heads[1:] - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    edge = word.copy()
+    edge[1:] &= ~word[:-1]
+    edge[heads] = word[heads]
+    starts = np.flatnonzero(edge)
+    edge = word.copy()
+    edge[:-1] &= ~word[1:]
+    tails = np.append(heads[1:], len(data)) - 1
+    edge[tails] = word[tails]
+    ends = np.flatnonzero(edge) + 1
+    return starts, ends, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as an integer; beyond the end they are zero."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; spans are in order, don't overlap and aren't empty."""
-    n = len(starts)
-    if not n:
+    """A 64-bit hash of each span's bytes; spans aren't empty. Different spans of up to eight bytes and equal length never collide.
+
+    Lanes of eight bytes go through a non-linear bijection one after the other; those of spans of over 64
+    bytes through one that depends on the position, and are summed: no structure of a text cancels out.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens, view = ends - starts, lanes(data)
+    h = mix((view[starts] & _LANE[np.minimum(lens, 8)]) ^ (lens.astype(np.uint64) * _GOLD))
+    more, k = np.flatnonzero(lens > 8), 1
+    while len(more) and k < _CHAINED:
+        lane = view[starts[more] + 8 * k] & _LANE[np.minimum(lens[more] - 8 * k, 8)]
+        h[more] = mix((h[more] ^ lane) + _GOLD)
+        k += 1
+        more = more[lens[more] > 8 * k]
+    if len(more):
+        count = -(-lens[more] // 8) - _CHAINED
+        heads = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(heads, count) + _CHAINED
+        at = np.repeat(starts[more], count) + 8 * place
+        lane = view[at] & _LANE[np.minimum(np.repeat(ends[more], count) - at, 8)]
+        h[more] = mix(h[more] ^ np.add.reduceat(mix(mix(lane ^ mix(place.astype(np.uint64) * _GOLD)) ^ place.astype(np.uint64)), heads))
+    return h
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each class of equal spans, and the class of each span. Exact: hashes sort, bytes are compared."""
+    _, first, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    same = first[which]
+    other = np.flatnonzero(same != np.arange(len(starts)))
+    lens, view = ends - starts, lanes(data)
+    equal, k = bool((lens[other] == lens[same[other]]).all()), 0
+    while equal and len(other) and k < 4 * _CHAINED:
+        mask = _LANE[np.minimum(lens[other] - 8 * k, 8)]
+        equal = bool(((view[starts[other] + 8 * k] & mask) == (view[starts[same[other]] + 8 * k] & mask)).all())
+        k += 1
+        other = other[lens[other] > 8 * k]
+    if equal and all(np.array_equal(data[starts[i] : ends[i]], data[starts[same[i]] : ends[same[i]]]) for i in other.tolist()):
+        return first, which
+    raw, seen = data.tobytes(), {}
+    which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    low, high = _U64((1 << 31) - 1), _U64(31)
+    a0, a1, b0, b1 = a & low, a >> high, _U64(b & ((1 << 31) - 1)), _U64(b >> 31)
+    middle = a1 * b0 + a0 * b1
+    total = _U64(2) * (a1 * b1) + (middle >> _U64(30)) + ((middle & _U64((1 << 30) - 1)) << high) + a0 * b0
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U64(PRIME)) + (x >> _U64(61))
+    return np.where(x >= _U64(PRIME), x - _U64(PRIME), x)
+
+
+def rabin_karp(h: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial hash modulo a prime of 61 bits of each run of ``width`` values, runs of doubled width from those of half the width."""
+    n = len(h) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    heads = np.cumsum(lens) - lens
-    total = int(heads[-1] + lens[-1])
-    off = np.arange(total, dtype=np.int32)
-    off -= np.repeat(heads.astype(np.int32), lens)
-    covered = int(ends[-1] - starts[0])
-    if total == covered:
-        chars = data[starts[0] : ends[-1]]
-    else:
-        edge = np.zeros(covered + 1, np.int8)
-        edge[starts - starts[0]] += 1
-        edge[ends - starts[0]] -= 1
-        chars = data[starts[0] : ends[-1]][np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
-    value = powers(_BASE, int(lens.max()))[off]
-    value *= _BYTE[chars]
-    h = np.add.reduceat(value, heads)
-    h ^= lens.astype(np.uint64) * _U64(0xD6E8FEB86659FD93)
-    return mix(h)
+    value, size, out, done = _reduced(h), 1, None, 0
+    while True:
+        if width & size:  # out covers the first ``done`` values of each run
+            out = value[:n] if out is None else _reduced(_times(out, pow(BASE, size, PRIME)) + value[done : done + n])
+            done += size
+        if 2 * size > width:
+            return out
+        value = _reduced(_times(value[:-size], pow(BASE, size, PRIME)) + value[size:])
+        size *= 2
 
 
 def rolling(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
@@ -190,5 +284,38 @@ def rolling(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(inverse, n))
 
 
+#: Bits of a filter of keys.
+FILTER_BITS = 1 << 25
+
+
+def _filter_bits(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_slot(batch[column].to_numpy(zero_copy_only=False))] = True
+        yield pa.RecordBatch.from_arrays([binary([zstandard.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
+
+    return run
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) & _U64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def key_filter(wanted: DataFrame, column: str):
+    """A function for tasks: which of some 64-bit hashes may be in the column. It has no false negatives, and 4 MB are broadcast whatever the table."""
+    parts = wanted.select(column).repartition(4, column).mapInArrow(_filter_bits(column), "bits binary").collect()  # four rows of at most 4 MB
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for p in parts:
+        bits |= np.frombuffer(zstandard.decompress(p["bits"]), np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(keys: np.ndarray) -> np.ndarray:
+        at = _slot(keys)
+        return ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+    return passes
+
+
 def binary(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
