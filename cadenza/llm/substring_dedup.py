@@ -3,13 +3,15 @@
 1. Map tasks take blocks of documents and compute the Rabin-Karp hash of every window. Within a
    block equal hashes are folded at once: their windows are known to repeat, and only one of them is
    sent on, so a window that a third of all rows share costs one entry per block. Entries are packed
-   by hash bucket: seven bytes of hash (the bucket holds the leading bits) and a compressed ordinal.
+   by bucket: eight bytes of hash and a compressed ordinal.
 2. Each bucket counts its hashes with numpy; an ordinal whose hash came from two blocks goes back to its block.
 3. Each block turns ordinals into removal intervals per document, merged to maximal ones.
 4. Intervals meet the documents again by row key, and the kept words are laid out.
 
-Windows count as equal when their 64-bit hashes are: with 10**10 windows about three pairs of
-different windows are expected to collide, each removing at most one window.
+Windows count as equal when two independent polynomial hashes are: one modulo the prime 2**61 - 1, and of
+one modulo 2**64 the bits that choose the bucket and three more. Together these are 64 bits and the bits of the
+bucket, whose number grows with the input: with 10**10 windows one pair of different windows in a thousand runs is
+expected to collide, with 10**13 about one pair a run.
 Texts are shuffled once, window hashes once. The input must give the same rows in the same order
 when a partition is computed again (a scan or a written table; not an unordered shuffle).
 """
@@ -26,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, rolling, row_key, small_batches, span_hash, stored, text_blocks, word_spans
+from .common import BLOCK_BYTES, binary, rabin_karp, rolling, row_key, small_batches, span_hash, stored, text_blocks, word_spans
 
-#: Windows that one bucket counts, on average.
-WINDOWS_PER_BUCKET = 2_000_000
+#: Windows that one bucket counts, on average, and the most buckets: beyond 2**20 (12 TB) buckets grow by some 40 bytes of a task's memory a window.
+WINDOWS_PER_BUCKET, BUCKET_BITS = 2_000_000, 20
 _HASHES, _TABLE, _HITS = 0, 1, 2
 _PACKED = "bucket int, block bigint, kind int, size int, payload binary"
 
@@ -50,29 +52,30 @@ def _hashes(width: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() << 32) - 1
-        for batch, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches, limit=min(4, 1 << max(0, bits - 14)) * BLOCK_BYTES):  # more buckets: larger blocks, else each row holds few windows
             block += 1
             starts, ends, doc = word_spans(data, offs)
             if len(starts) < width:
                 continue
-            h = rolling(span_hash(data, starts, ends), width)
-            at = np.flatnonzero(doc[: len(h)] == doc[width - 1 :])
+            words = span_hash(data, starts, ends)
+            at = np.flatnonzero(doc[: len(words) - width + 1] == doc[width - 1 :])
             if not len(at):
                 continue
-            h = h[at]
+            h, other = rabin_karp(words, width)[at], rolling(words, width)[at]
+            h |= other << np.uint64(61)
             order = np.argsort(h, kind="stable")
-            same = h[order[1:]] == h[order[:-1]]
+            same = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
             first = np.append(True, ~same)
             repeated = np.zeros(len(h), bool)
             repeated[order[1:][same]] = repeated[order[:-1][same]] = True
             chosen = np.zeros(len(h), bool)
             chosen[order[first]] = True
             once = at[chosen]
-            h = h[chosen]
-            bucket = (h >> shift).astype(np.uint16) if bits else np.zeros(len(h), np.uint16)
+            h, other = h[chosen], other[chosen]
+            bucket = (other >> shift).astype(np.int32)
             deal = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[deal], np.arange((1 << bits) + 1))
-            raw = np.ascontiguousarray(h[deal].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
+            raw = h[deal].astype("<u8")
             once = once[deal]
             rows = []
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -98,13 +101,12 @@ def _count(group: pa.Table) -> pa.Table:
     packed = group.filter(pa.array(kind == _HASHES))
     sizes, blocks = packed["size"].to_numpy(), packed["block"].to_numpy()
     total = int(sizes.sum())
-    raw, ordinal, at = np.zeros((total, 8), np.uint8), np.zeros(total, np.uint32), 0
+    h, ordinal, at = np.zeros(total, np.uint64), np.zeros(total, np.uint32), 0
     for n, payload in zip(sizes.tolist(), packed["payload"], strict=True):
         payload = payload.as_buffer()
-        raw[at : at + n, :7] = np.frombuffer(payload, np.uint8, n * 7).reshape(n, 7)
-        ordinal[at : at + n] = _unpack(memoryview(payload)[n * 7 :])
+        h[at : at + n] = np.frombuffer(payload, "<u8", n)
+        ordinal[at : at + n] = _unpack(memoryview(payload)[n * 8 :])
         at += n
-    h = raw.view("<u8").ravel()
     order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
     hit = np.zeros(total, bool)
@@ -156,7 +158,7 @@ def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = min(16, max(6, (size // (5 * WINDOWS_PER_BUCKET)).bit_length()))
+    bits = min(BUCKET_BITS, max(6, (size // (5 * WINDOWS_PER_BUCKET)).bit_length()))
     packed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_hashes(width, bits), _PACKED)
     hits = packed.groupBy("bucket").applyInArrow(_count, "block bigint, kind int, size int, payload binary")
     spans = hits.groupBy("block").applyInArrow(_intervals(width), "k1 bigint, k2 bigint, spans binary")
