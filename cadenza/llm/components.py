@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Tables
 
 #: Edges that one task joins by union-find. A graph of no more is done in one pass; larger ones go on in rounds.
 EDGES_PER_TASK = 200_000
@@ -46,11 +46,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK, tables: Tables | None = None) -> DataFrame:
     """(node, label) for each node of ``edges`` (a, b: longs, any direction, repeats allowed) that isn't the least of its component, which is the label.
 
     Each round is written to the shared folder; rounds grow with the logarithm of the diameter. Nothing but two totals a round reaches the driver.
+    What it writes belongs to ``tables``, if given, and is dropped with them.
     """
+    stored = (tables or Tables(edges.sparkSession)).stored
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:

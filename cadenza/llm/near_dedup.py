@@ -3,15 +3,17 @@
 Each permutation yields the least and the greatest value of a set, two nearly independent samples
 for one hash evaluation; three permutations (six values) make a band. Sets with equal hashes are one
 node. Nodes that share a band are candidates, but a band's members aren't paired with one another:
-each is compared with one pivot of the band, the confirmed links are joined to components, and
-only bands that still hold several components are looked at again, against other pivots and at last across
-all their components. Before sets are compared, a pair must pass bounds that no linked pair fails: by
-sizes, and by a 1024-bit map of each set, in which the bits that differ can't outnumber the shingles that differ. So a
-tight group of m copies costs about m comparisons, and no link between different sets that share a band is lost. With 32 bands a pair at 0.85 shares none once in
-four million, at 0.8 once in 15,000 (more bands: fewer).
-
-Comparisons run as streams: a pivot's set, then its members' sets, dealt over more tasks where a
-pivot has many members.
+
+1. In a few rounds each member is compared with one pivot of the band, the confirmed links are joined to
+   components, and only bands that still hold several components are looked at again.
+2. What is left of a band goes, set by set, to tasks of bounded size: the members outside its largest component
+   meet all others there. A task joins components as it confirms links, so two components are compared no further once
+   one link is found, and returns the links that joined them: at most one a member, never a row a pair.
+
+Before sets are compared, a pair must pass bounds that no linked pair fails: by sizes, and by a
+1024-bit map of each set, in which the bits that differ can't outnumber the shingles that differ. A tight
+group of m copies costs about m comparisons, and no link between different sets that share a band is lost. With 32
+bands a pair at 0.85 shares none once in four million, at 0.8 once in 15,000 (more bands: fewer).
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, mix, rolling, row_key, small_batches, span_hash, stored, text_blocks, word_spans
+from .common import LOWER, Tables, binary, key_filter, mix, rolling, row_key, small_batches, span_hash, text_blocks, word_spans
 from .components import components
 
 #: Permutations that make a band; each gives a least and a greatest value.
 PER_BAND = 3
-#: Rounds against one pivot of a band before all components of a band are compared.
+#: Rounds against one pivot of a band before what is left of a band is compared at once.
 PIVOT_ROUNDS = 3
+#: What one of the two parts of a band that meet in a task weighs: its shingles, and so many more for each set.
+PART, SET = 1 << 20, 64
 #: 64-bit words of the map of a set.
 MAP = 16
 #: Members of a pivot that one task compares.
@@ -108,14 +112,16 @@ def _signatures(width: int, bands: int):
     return run
 
 
-def _sets(width: int):
-    """Six bytes of each hash: enough to count the common elements of two sets."""
+def _sets(width: int, wanted):
+    """Sets of the rows that a filter of keys lets through; six bytes of each hash are enough to count the common elements of two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in text_blocks(batches):
-            sets, at = shingle_sets(data, offs, width)
-            raw = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], binary([raw[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["node", "n", "hashes"])
+        for batch in batches:
+            some = batch.filter(pa.array(wanted(batch["k1"].to_numpy(zero_copy_only=False))))
+            for part, data, offs in text_blocks(iter([some])):
+                sets, at = shingle_sets(data, offs, width)
+                raw = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+                yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], binary([raw[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])], ["k1", "k2", "hashes"])
 
     return run
 
@@ -126,6 +132,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.sort(out.view("<u8").ravel())
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _compare(percent: int):
     """Rows of a pivot come together, its own set first."""
 
@@ -133,15 +144,14 @@ def _compare(percent: int):
         pivot, own = None, None
         for batch in batches:
             links = []
-            for c, node, n, hashes in zip(batch["pivot"].to_pylist(), batch["node"].to_pylist(), batch["n"].to_pylist(), batch["hashes"], strict=True):
+            for c, node, hashes in zip(batch["pivot"].to_pylist(), batch["node"].to_pylist(), batch["hashes"], strict=True):
                 values = _unpacked(hashes.as_buffer())
                 if c == node:
                     pivot, own = c, values
                     continue
                 if c != pivot:
                     raise ValueError("a pivot's set is missing")
-                common = np.count_nonzero(own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values)
-                if 100 * common >= percent * (len(own) + n - common):
+                if _linked(own, values, percent):
                     links.append((c, node))
             if links:
                 a, b = zip(*links, strict=True)
@@ -157,67 +167,123 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     deal = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("task")
     wants = pairs.join(tasks, "pivot").select("pivot", "node", deal, F.lit(1).alias("role")).union(tasks.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = wants.join(sets, "node").repartition(n, "pivot", "task").sortWithinPartitions("pivot", "task", "role").select("pivot", "node", "n", "hashes")
+    rows = wants.join(sets.select("node", "hashes"), "node").repartition(n, "pivot", "task").sortWithinPartitions("pivot", "task", "role").select("pivot", "node", "hashes")
     return rows.mapInArrow(_compare(percent), "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _meet(percent: int):
+    """Links that join components, of the pairs that meet in a task: part ``x`` of a band against part ``y``, and itself where the task is its last."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first = group["part"].to_numpy() == group["x"][0].as_py()
+        group = pa.concat_tables([group.filter(pa.array(first)), group.filter(pa.array(~first))]).combine_chunks()  # part x comes first
+        own, node, size, root = int(first.sum()), group["node"].to_numpy(), group["n"].to_numpy(), group["label"].to_numpy().copy()
+        maps = group["map"].combine_chunks().flatten().to_numpy().reshape(-1, MAP).view(np.uint64)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+        place = int(np.argmax(bands[0] == group["band"][0].as_py()))
+        raw, sets, links = group["hashes"].combine_chunks(), {}, []
+
+        def values(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _unpacked(raw[k].as_buffer())
+            return sets[k]
+
+        within = group["last"][0].as_py()
+        for i in range(own):
+            j = np.arange(i + 1 if within else own, len(node))
+            j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+            fits = differ * (100 + percent) <= (size[j] + size[i]) * (100 - percent)
+            j, differ = j[fits], differ[fits]
+            met = (bands[j, :place] == bands[i, :place]).any(1)  # in an earlier band, as both are of several components there
+            j, differ = j[~met], differ[~met]
+            for k in j[np.argsort(differ, kind="stable")].tolist():
+                if root[k] != root[i] and _linked(values(i), values(k), percent):
+                    links.append((int(node[i]), int(node[k])))
+                    root[root == root[k]] = root[i]
+            sets.pop(i, None)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _rest(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components (``label``) that share a band in ``now`` (band, node, label), enough to join all that are linked."""
+    weighed = now.join(sets.select("node", "n"), "node")
+    labels = weighed.groupBy("band", "label").agg(F.sum(F.col("n") + SET).alias("w"))
+    split = labels.groupBy("band").agg(F.max(F.struct("w", "label")).alias("most"), F.sum("w").alias("all"))
+    # parts 0 .. few - 1 are of the others, the rest of the largest component
+    few, many = F.ceil((F.col("all") - F.col("most.w")) / PART).cast("int"), F.ceil(F.col("most.w") / PART).cast("int")
+    rows = now.join(split.select("band", F.col("most.label").alias("large"), few.alias("few"), (few + many).alias("parts")), "band")
+    large = F.col("label") == F.col("large")
+    part = F.when(large, F.col("few") + F.pmod(F.xxhash64("node"), F.col("parts") - F.col("few"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
+    rows = rows.withColumn("part", part)
+    others = F.when(large, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part")))
+    rows = rows.withColumn("other", F.explode(others)).select("band", "node", "label", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.greatest("part", "other") == F.col("parts") - 1).alias("last"))
+    return rows.join(sets, "node").groupBy("band", "x", "y").applyInArrow(_meet(percent), "a bigint, b bigint")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``, ``n_links`` of the row's set to other sets found on the way.
 
     Sets of distinct ``width``-word shingles are linked when 100 * intersection >= percent * union.
     ``component_id`` is the least id reachable; a row stays if it has that id. Rows without words are
     linked with nothing. Null ids count as none: a component of null ids only has a null id and keeps its
-    rows; so do all rows that repeat the least id. Columns but the two named aren't read.
+    rows; so do all rows that repeat the least id. An empty table gives no rows. Columns but the two named aren't read.
+    ``with_key`` adds ``k1``, ``k2``, the row's key (see ``row_key``), and ``leader``: true for one key of each component.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
+    held, passing = Tables(spark), Tables(spark)  # what the result reads, and what it doesn't
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(keyed.mapInArrow(_signatures(width, bands), f"id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, bands array<bigint>, map array<bigint>"), "signatures")
+    scanned = passing.stored(keyed.mapInArrow(_signatures(width, bands), f"id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, bands array<bigint>, map array<bigint>"), "signatures")
 
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    first = F.min(F.struct("id", "k1", "k2"))
+    known = scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k1", "k2"))).alias("named"), first.alias("any"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("map").alias("map"))
+    nodes = passing.stored(known.select("node", "least_id", F.coalesce("named", "any").alias("lead"), "n", "bands", "map"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    open_ = stored(members.join(shared.select("band"), "band"), "bands")
-    # one row carries text and map of a node
-    carrier = rows.where("node IS NOT NULL").join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2", "n", "map")).alias("k"))
-    carrier = stored(carrier.select("node", "k.*"), "carriers")
-    texts = keyed.select("k1", "k2", "text").join(carrier.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "node bigint, n bigint, hashes binary").dropDuplicates(["node"]), "sets")
+    open_ = passing.stored(members.join(shared.select("band"), "band"), "bands")
+    # the leading row of a node carries its text
+    carrier = passing.stored(nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "lead.k1", "lead.k2", "n", "bands", "map"), "carriers")
+    texts = keyed.select("k1", "k2", "text").mapInArrow(_sets(width, key_filter(carrier, "k1")), "k1 bigint, k2 bigint, hashes binary")
+    sets = passing.stored(texts.join(carrier, ["k1", "k2"]).drop("k1", "k2").dropDuplicates(["node"]), "sets")
     maps = carrier.select("node", "n", *(F.col("map")[k].alias(f"w{k}") for k in range(MAP)))
     other = maps.select(F.col("node").alias("pivot"), F.col("n").alias("m"), *(F.col(f"w{k}").alias(f"v{k}") for k in range(MAP)))
     differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, MAP)), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
     possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
-    now, links, tried = open_.withColumn("label", F.col("node")), None, None
+    now, links = open_.withColumn("label", F.col("node")), None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn:
-            labels = components(links)
+            labels = components(links, tables=passing)
             now = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-            now = stored(now.join(mixed.select("band"), "band"), "mixed")
+            now = passing.stored(now.join(mixed.select("band"), "band"), "mixed")
         if turn < PIVOT_ROUNDS:
             order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")
             pivots = now.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("far"))
             found = now.join(pivots, "band").where("label <> far").select("pivot", "node").distinct().join(maps, "node").join(other, "pivot").where(possible).select("pivot", "node")
+            confirmed = _confirmed(passing.stored(found, "pairs"), sets, percent)
         else:
-            mine = now.join(maps, "node")
-            theirs = now.select("band", F.col("node").alias("pivot"), F.col("label").alias("far")).join(other, "pivot")
-            found = mine.join(theirs, (mine["band"] == theirs["band"]) & (F.col("label") < F.col("far")) & possible).select("pivot", "node").distinct()
-        if tried is not None:
-            found = found.join(tried, ["pivot", "node"], "left_anti").join(tried.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti")
-        found = stored(found.select("pivot", "node"), "pairs")
-        confirmed = stored(_confirmed(found, sets, percent), "links")
-        tried, links = (found, confirmed) if tried is None else (tried.union(found), links.union(confirmed))
-
-    labels = components(links)
+            confirmed = _rest(now, sets, percent)
+        confirmed = passing.stored(confirmed, "links")
+        links = confirmed if links is None else links.union(confirmed)
+
+    labels = components(links, tables=passing)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named, "classes")
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(least, "label").select("node", "component_id", "n_links")
-    full = rows.select("id", "n", "node").join(classes, "node", "left")
+    named = nodes.select("node", "least_id", "lead").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = passing.stored(named, "labels")
+    best = F.coalesce(F.min(F.when(F.col("lead.id").isNotNull(), F.col("lead"))), F.min("lead"))
+    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"), best.alias("leader"))
+    classes = held.stored(named.join(least, "label").select("node", "component_id", "leader", "n_links"), "classes")
+    rows = held.stored(scanned.select("id", "k1", "k2", "n", "node"), "rows")
+    passing.drop()
+    full = rows.join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    key = ["k1", "k2", (F.col("node").isNull() | ((F.col("k1") == F.col("leader.k1")) & (F.col("k2") == F.col("leader.k2")))).alias("leader")] if with_key else []
     return full.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), *key
     )
