@@ -4,14 +4,15 @@ A line is a set of distinct words. It goes when an earlier line of the corpus, k
 similarity of at least the threshold; earlier means a smaller document id, then a smaller line number.
 
 1. Word counts over all documents, in a table of fixed size, give the order of words: rare ones first.
+   This scan hashes words only; lines are looked at by the next two.
 2. Each set's prefix in that order is posted to buckets of words; sets so small that only an equal one is
    similar enough (up to three words at 0.8) aren't, step 4 needs no more than their count. Within a word's group, pairs are
    filtered by length, by position (what may still match behind it) and by a 64-bit map of
    the words (bits that differ bound the overlap); members with no partner left drop out there. What
    is left is a small table of (word, set).
-3. Each set is compared with the earliest of all that lead its groups, on whole word sets, read in a second scan
-   for the sets concerned only. Sets that have found an earlier partner are done. The others are
-   compared with every earlier member of their groups that passes the filters.
+3. A last scan lists all lines, and the words of the sets concerned with a 512-bit map of them, by which the groups are
+   filtered once more. Each set is compared with the earliest of all that lead its groups, on whole word sets. Sets that have
+   found an earlier partner are done. The others are compared with every earlier member of their groups that passes the filters.
 4. Lines that aren't the first of their set, and lines of sets with an earlier partner, leave the documents.
 
 Comparing with the earliest first keeps a group of m near copies at about m comparisons; lines that
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary, mix, row_key, small_batches, span_hash, stored, text_blocks, word_spans
+from .common import Tables, binary, key_filter, mix, row_key, small_batches, span_hash, text_blocks, word_spans
 
-#: Slots of the word count table (a byte each when it is broadcast), and bits of the filter of wanted sets.
-SLOTS, FILTER_BITS = 1 << 20, 1 << 25
+#: Slots of the word count table (a byte each when it is broadcast).
+SLOTS = 1 << 20
 _CHUNK = 1 << 14
+#: 64-bit words of the map of a set by which pairs are bounded before their words are read.
+MAP = 8
 #: A word's group above this size keeps all its members: pairs are filtered later, when the earliest has been tried.
 GROUP = 4096
 _U64 = np.uint64
@@ -58,11 +61,12 @@ class Lines:
     def sets(self, order: np.ndarray | None = None) -> None:
         """Distinct words of each line, by ``order`` (rank of a slot) and hash: ``token``, ``at`` (offsets), ``n``, ``sid``."""
         index = np.repeat(np.arange(len(self.heads)), self.words).astype(np.uint64)
-        key = index << _U64(42)
+        bits = max(20, len(self.heads).bit_length())  # of a line's index; six are the order's, the hash has the rest
+        key = index << _U64(64 - bits)
         if order is not None:
-            key |= order[(self.h & _U64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U64(36)
-        key |= self.h >> _U64(28)
-        by = np.argsort(key, kind="stable")
+            key |= order[(self.h & _U64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U64(58 - bits)
+        key |= self.h >> _U64(6 + bits)
+        by = np.argsort(key)
         h, index = self.h[by], index[by]
         new = np.append(True, (h[1:] != h[:-1]) | (index[1:] != index[:-1])) if len(h) else np.zeros(0, bool)
         self.token, index = h[new], index[new].astype(np.int64)
@@ -73,41 +77,38 @@ class Lines:
 
 
 # ---------------------------------------------------------------- word order
-def _add_counts(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zstandard.decompress(c.as_py()), np.int64) for c in group["counts"])
-    return pa.table([group["chunk"].slice(0, 1), binary([(2 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()])], names=["chunk", "ranks"])
-
-
-def _scan(least_words: int, schema: pa.Schema):
-    """A row for each line of enough words, and at the end the word counts of the task, in chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch, data, offs in text_blocks(batches):
-            lines = Lines(data, offs)
-            if not len(lines.heads):
-                continue
-            counts += np.bincount((lines.h & _U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            lines.sets()
-            use = np.flatnonzero(lines.words >= least_words)
-            rows, none = pa.array(lines.doc[use]), pa.nulls(len(use))
-            columns = [pa.array(lines.sid[use]), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32)), none, none]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-        if counts.any():
-            parts = counts.reshape(-1, _CHUNK)
-            none = pa.nulls(len(parts))
-            columns = [*[none] * 5, pa.array(range(len(parts)), pa.int32()), binary([zstandard.compress(p.tobytes(), 1) for p in parts])]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-    return run
-
-
-def word_order(counts: DataFrame) -> np.ndarray:
-    """Rank (0 rare .. 63 frequent) of each slot, from the tasks' counts of all words; one megabyte whatever the corpus."""
-    rows = counts.groupBy("chunk").applyInArrow(_add_counts, "chunk int, ranks binary").collect()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word counts of a task, in chunks."""
+    counts = np.zeros(SLOTS, np.int64)
+    for _, data, offs in text_blocks(batches):
+        starts, ends, _ = word_spans(data, offs)
+        counts += np.bincount((span_hash(data, starts, ends) & _U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    if counts.any():
+        parts = counts.reshape(-1, _CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), binary([zstandard.compress(p.tobytes(), 1) for p in parts])], ["chunk", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the chunks that reach a task, one after another."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"], strict=True):
+            own = np.frombuffer(zstandard.decompress(counts.as_buffer()), np.int64)
+            total[chunk] = total[chunk] + own if chunk in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), binary([zstandard.compress(c.tobytes(), 1) for c in total.values()])], ["chunk", "counts"])
+
+
+def word_order(texts: DataFrame) -> np.ndarray:
+    """Rank (0 rare .. 63 frequent) of each slot by the counts of all words. Tasks' counts are added up in two steps; a megabyte or so reaches the driver, whatever the corpus."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    layout = "chunk int, counts binary"
+    some = texts.mapInArrow(_count, layout).withColumn("salt", (F.rand(1) * 64).cast("int"))
+    rows = some.repartition(n, "chunk", "salt").select("chunk", "counts").mapInArrow(_add, layout).repartition(n, "chunk").mapInArrow(_add, layout).collect()
     out = np.zeros(SLOTS, np.uint8)
     for r in rows:
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.minimum(np.frombuffer(r["ranks"], np.uint8), 63)
+        total = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.minimum(2 * np.log2(np.maximum(total, 1)), 63).astype(np.uint8)
     return out
 
 
@@ -174,39 +175,45 @@ def _partners(percent: int):
         token, sid, bitmap, n, place = token[by], sid[by], bitmap[by], n[by], place[by]
         once = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))
         token, sid, bitmap, n, place = token[once], sid[once], bitmap[once], n[once], place[once]
-        head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(head, len(token)))
-        keep = np.repeat(size > GROUP, size)
-        alive = np.flatnonzero(np.repeat((size > 1) & (size <= GROUP), size))
-        step = 1
-        while len(alive):
-            alive = alive[alive + step < len(token)]
-            alive = alive[token[alive + step] == token[alive]]
-            i, j = alive, alive + step
-            need = _needed(percent, n[i], n[j])
-            rest = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-            fits = rest >= need
-            i, j, need = i[fits], j[fits], need[fits]
-            fits = (n[i] + n[j] - np.bitwise_count(bitmap[i] ^ bitmap[j])) >= 2 * need
-            keep[i[fits]] = keep[j[fits]] = True
-            step += 1
-        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep]), pa.array(place[keep]), pa.array(bitmap[keep].view(np.int64))], names=["token", "sid", "n", "place", "map"])
+        keep = _with_partner(percent, token, n, place, bitmap[:, None])
+        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep]), pa.array(place[keep])], names=["token", "sid", "n", "place"])
 
     return run
 
 
-# ---------------------------------------------------------------- comparison
-def _filter_bits(column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            x = batch[column].to_numpy(zero_copy_only=False).view(np.uint64)
-            bits[(x & _U64(FILTER_BITS - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([binary([zstandard.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
+def _with_partner(percent: int, token: np.ndarray, n: np.ndarray, place: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Which members, in order of their words, may be similar to another one of their word's group: by length, position and map."""
+    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(head, len(token)))
+    keep = np.repeat(size > GROUP, size)
+    alive = np.flatnonzero(np.repeat((size > 1) & (size <= GROUP), size))
+    step = 1
+    while len(alive):
+        alive = alive[alive + step < len(token)]
+        alive = alive[token[alive + step] == token[alive]]
+        i, j = alive, alive + step
+        need = _needed(percent, n[i], n[j])
+        fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+        i, j, need = i[fits], j[fits], need[fits]
+        fits = n[i] + n[j] - np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64) >= 2 * need
+        keep[i[fits]] = keep[j[fits]] = True
+        step += 1
+    return keep
+
+
+def _again(percent: int):
+    """The members that still have a possible partner by the wider maps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("token")
+        maps = np.stack([group[f"m{w}"].to_numpy().view(np.uint64) for w in range(MAP)], axis=1)
+        keep = _with_partner(percent, group["token"].to_numpy(), group["n"].to_numpy(), group["place"].to_numpy(), maps)
+        return group.filter(pa.array(keep)).drop_columns(["bucket"])
 
     return run
 
 
+# ---------------------------------------------------------------- comparison
 def _packed(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray((np.sort(tokens) >> _U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -218,27 +225,35 @@ def _unpacked(words: pa.BinaryScalar) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, words: six bytes of each hash) of the wanted sets, from a scan that a filter of fixed size makes skip most other lines."""
-    parts = wanted.repartition(4).mapInArrow(_filter_bits("sid"), "bits binary").collect()  # four parts of at most 4 MB
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for p in parts:
-        bits |= np.frombuffer(zstandard.decompress(p["bits"]), np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+def _scan(least_words: int, wanted, schema: pa.Schema):
+    """A row for each line of enough words; with the first of a block's lines of a set that a filter lets through go its words and their map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches):
             lines = Lines(data, offs)
             if not len(lines.heads):
                 continue
             lines.sets()
-            slot = (lines.sid.view(np.uint64) & _U64(FILTER_BITS - 1)).astype(np.int64)
-            hit = np.flatnonzero((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
-            sids, first = np.unique(lines.sid[hit], return_index=True)
-            words = [_packed(lines.token[lines.at[k] : lines.at[k + 1]]) for k in hit[first].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sids), binary(words)], ["sid", "words"])
+            use = np.flatnonzero(lines.words >= least_words)
+            sid, at = lines.sid[use], lines.at
+            hit = np.flatnonzero(wanted(sid))
+            first = hit[np.unique(sid[hit], return_index=True)[1]]
+            words, maps = np.full(len(use), None, object), np.zeros((len(use), MAP), np.uint64)
+            if len(first):
+                chosen = use[first]
+                each = np.repeat(np.arange(len(first)), lines.n[chosen])
+                token = lines.token[np.arange(len(each)) - np.repeat(np.cumsum(lines.n[chosen]) - lines.n[chosen], lines.n[chosen]) + np.repeat(at[chosen], lines.n[chosen])]
+                bit = (token >> _U64(16)) & _U64(64 * MAP - 1)
+                for w in range(MAP):
+                    own = np.flatnonzero(bit >> _U64(6) == w)
+                    np.bitwise_or.at(maps[:, w], first[each[own]], _U64(1) << (bit[own] & _U64(63)))
+                for k, line in zip(first.tolist(), chosen.tolist(), strict=True):
+                    words[k] = _packed(lines.token[at[line] : at[line + 1]])
+            rows = pa.array(lines.doc[use])
+            columns = [pa.array(sid), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32)), binary(words.tolist()), *(pa.array(maps[:, w].view(np.int64)) for w in range(MAP))]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, "sid bigint, words binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return run
 
 
 def _linked(percent: int):
@@ -254,45 +269,57 @@ def _linked(percent: int):
     return run
 
 
-def _beaten(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Sets of ``pairs`` (sid, rival; distinct) that are similar enough to a rival."""
+def _beaten(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Sets of ``pairs`` (sid, rival; distinct) that are similar enough to a rival, by the words that stand in ``lines``."""
+    wanted = key_filter(pairs.select("sid").union(pairs.select("rival")), "sid")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch["sid"].to_numpy(zero_copy_only=False))))
+
+    sets = lines.where("words IS NOT NULL").select("sid", "words").mapInArrow(some, "sid bigint, words binary").dropDuplicates(["sid"])
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("rival"), F.col("words").alias("other")), "rival").select("sid", "words", "other")
     return both.mapInArrow(_linked(percent), "sid bigint").distinct()
 
 
-def dropped_lines(keyed: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """(k1, k2, lines): numbers of the lines that go, for rows (id, k1, k2, text) that lose any."""
-    spark = keyed.sparkSession
+def dropped_lines(keyed: DataFrame, percent: int, least_words: int, tables: Tables) -> DataFrame:
+    """(k1, k2, lines): numbers of the lines that go, for rows (id, k1, k2, text) that lose any. It reads what it has written to ``tables``."""
+    spark, stored = keyed.sparkSession, tables.stored
     texts = keyed.select("text")
     kind = dict(keyed.dtypes)["id"]
-    layout = T.StructType.fromDDL(f"sid bigint, id {kind}, k1 bigint, k2 bigint, line int, chunk int, counts binary")
-    scanned = stored(keyed.mapInArrow(_scan(least_words, to_arrow_schema(layout)), layout), "lines")
-    lines = scanned.where("chunk IS NULL").select("sid", "id", "k1", "k2", "line")
-    order = spark.sparkContext.broadcast(word_order(scanned.where("chunk IS NOT NULL").select("chunk", "counts")))
+    order = spark.sparkContext.broadcast(word_order(texts))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(14, max(4, (size // (40 << 20)).bit_length() + 2))
     posted = texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary")
-    members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint, map bigint"), "members")
+    members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint"), "members")
+    wanted = stored(members.select("sid").distinct(), "wanted")
+    maps = [f"m{w}" for w in range(MAP)]
+    layout = T.StructType.fromDDL(f"sid bigint, id {kind}, k1 bigint, k2 bigint, line int, words binary, " + ", ".join(f"{m} bigint" for m in maps))
+    lines = stored(keyed.mapInArrow(_scan(least_words, key_filter(wanted, "sid"), to_arrow_schema(layout)), layout), "lines")
 
     place = F.struct("id", "k1", "line")
     firsts = stored(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
-
-    known = stored(members.join(firsts.select("sid", "first"), "sid"), "members")
-    sets = stored(_word_sets(texts, stored(members.select("sid").distinct(), "wanted")), "sets")
-    earliest = known.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "map")).alias("e"))
-    rivals = known.select("token", F.col("sid").alias("rival"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("place").alias("at"), F.col("map").alias("other"))
+    mapped = lines.where("words IS NOT NULL").groupBy("sid").agg(*(F.max(m).alias(m) for m in maps))  # equal for equal sets
+    near = members.join(mapped, "sid").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(1 << bits)))
+    near = near.groupBy("bucket").applyInArrow(_again(percent), "token bigint, sid bigint, n bigint, place bigint, " + ", ".join(f"{m} bigint" for m in maps))
+    near = stored(near, "members")
+    known = stored(near.join(firsts.select("sid", "first"), "sid"), "members")
+    earliest = known.groupBy("token").agg(F.min(F.struct("first", "sid", "n", *maps)).alias("e"))
+    theirs = [F.col(m).alias(f"o{m}") for m in maps]
+    rivals = known.select("token", F.col("sid").alias("rival"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("place").alias("at"), *theirs)
     need = F.floor((F.lit(percent) * (F.col("n") + F.col("m")) + F.lit(99 + percent)) / F.lit(100 + percent))
     # bounds that no similar pair fails: by sizes, and by the bits in which the maps differ
-    possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") + F.col("m") - F.bit_count(F.col("map").bitwiseXOR(F.col("other"))) >= 2 * need)
-    first = earliest.select("token", F.col("e.first").alias("before"), F.col("e.sid").alias("rival"), F.col("e.n").alias("m"), F.col("e.map").alias("other"))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}"))) for m in maps[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("om0"))))
+    possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") + F.col("m") - differ >= 2 * need)
+    first = earliest.select("token", F.col("e.first").alias("before"), F.col("e.sid").alias("rival"), F.col("e.n").alias("m"), *(F.col(f"e.{m}").alias(f"o{m}") for m in maps))
     one = known.join(first, "token").where("sid <> rival").where(possible).groupBy("sid").agg(F.min(F.struct("before", "rival")).alias("r"))
     pairs = stored(one.select("sid", F.col("r.rival").alias("rival")), "pairs")
-    beaten = stored(_beaten(pairs, sets, percent), "beaten")
+    beaten = stored(_beaten(pairs, lines, percent), "beaten")
     open_ = known.join(beaten, "sid", "left_anti")
     behind = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= need  # what may still match from the common word on
     more = open_.join(rivals, (open_["token"] == rivals["token"]) & (F.col("before") < F.col("first")) & possible & behind).select("sid", "rival").distinct()
     more = stored(more.join(pairs, ["sid", "rival"], "left_anti"), "pairs")
-    beaten = stored(beaten.union(_beaten(more, sets, percent)), "beaten")
+    beaten = stored(beaten.union(_beaten(more, lines, percent)), "beaten")
 
     # a set whose only line stays needs no look at its lines
     matter = firsts.join(beaten.withColumn("beaten", F.lit(True)), "sid", "left").where("beaten OR times > 1")
@@ -308,16 +335,20 @@ def line_dedup(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col:
     empty (one line). Null ids come first, equal ids are ordered by a hash; rows that repeat id and text are
     one row here: their lines go or stay alike.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = stored(dropped_lines(keyed, percent, least_words), "dropped")
+    passing = Tables(spark)
+    gone = Tables(spark).stored(dropped_lines(keyed, percent, least_words, passing), "dropped")
+    passing.drop()
     k1, k2 = row_key(id_col, text_col)
-    # two names that clash with no column of the input
-    a, b, c = (next(n for n in (f"_{x}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("k1_", "k2_", "lines_"))
+    # names that clash with no column of the input
+    a, b, c, d = (next(n for n in (f"_{x}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("k1_", "k2_", "lines_", "parts_"))
     out = docs.withColumns({a: k1, b: k2}).join(gone.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("lines").alias(c)), [a, b], "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(c), i)), "\n")
-    counts = {"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size(c), F.lit(0))}
+    out = out.withColumn(d, F.split(F.col(text_col), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(d) - 1), F.col(c))
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col(d), i)), "\n")
+    counts = {"n_lines": F.coalesce(F.size(d), F.lit(0)), "n_dropped": F.coalesce(F.size(c), F.lit(0))}
     extra = [v.cast("int").alias(k) for k, v in counts.items()]
     text = F.when(F.col(c).isNull(), F.col(text_col)).otherwise(left).alias(text_col)
     return out.select(*(text if n == text_col else F.col(n) for n in docs.columns if n not in counts), *extra)
