@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, ids_per_document, word_cuts
-from .common import binary, small_batches, text_blocks
+from .chunks import CACHE_BYTES, ChunkEncoder, ids_per_document, word_cuts
+from .common import binary, small_batches, text_blocks, trim
+
+
+#: New chunks that one pair index takes, which bounds its memory.
+CHUNKS_AT_ONCE = 100_000
 
 
 class PairIndexBPE:
@@ -91,34 +96,35 @@ class PairIndexBPE:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def merge(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece; all pieces share one pair occurrence index."""
         vocab, suffix = self.vocab, self.suffix
-        symbols, lens = [], []
+        symbols, lens = array("i"), []
         for p in pieces:
             own = [vocab.get(c) for c in p[:-1]]
             own.append(vocab.get(p[-1] + suffix))
             if None in own:  # without an unknown token, unknown symbols go
                 own = [s for s in own if s is not None]
-            symbols += own
+            symbols.extend(own)
             lens.append(len(own))
         n = len(symbols)
-        symbol = np.array([*symbols, -1], np.int64)
+        symbol = np.append(np.frombuffer(symbols, np.int32), np.int32(-1))
         edges = np.concatenate(([0], np.cumsum(lens)))
         # neighbours within a piece; n stands for none
-        right, left = np.arange(1, n + 2), np.arange(-1, n)
+        right, left = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         right[edges[1:][edges[1:] > 0] - 1] = n
         left[edges[:-1]] = n
         right[n] = left[n] = n
         rank = self.ranks(symbol[:n], symbol[right[:n]])
-        order = np.argsort(rank, kind="stable")
+        some = np.flatnonzero(rank >= 0).astype(np.int32)
+        order = some[np.argsort(rank[some], kind="stable")]
         present, first = np.unique(rank[order], return_index=True)
-        bounds = dict(zip(present.tolist(), zip(first.tolist(), [*first[1:].tolist(), n], strict=True), strict=True))
-        bounds.pop(-1, None)
+        bounds = dict(zip(present.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True))
+        del rank, some
         active, later = sorted(bounds), {}
         while active:
             r = heapq.heappop(active)
@@ -160,6 +166,12 @@ class PairIndexBPE:
         return [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(chunks), CHUNKS_AT_ONCE):
+            out += self._encode(chunks[at : at + CHUNKS_AT_ONCE])
+        return out
+
+    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
         cut = self.many_pieces([c.decode() for c in chunks])
         place: dict[str, int] = {}
         for ps in cut:
@@ -183,7 +195,7 @@ _LOADED: dict[str, tuple[PairIndexBPE, ChunkEncoder]] = {}
 def loaded(path: str) -> tuple[PairIndexBPE, ChunkEncoder]:
     if path not in _LOADED:
         bpe = PairIndexBPE(path)
-        _LOADED[path] = bpe, ChunkEncoder(bpe.encode)
+        _LOADED[path] = bpe, ChunkEncoder(bpe.encode, CACHE_BYTES // 2)
     return _LOADED[path]
 
 
@@ -206,6 +218,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             encoded = encoder([(data, *cut) for (_, data, _), cut in zip(blocks, cuts, strict=True)])
             for (batch, _, offs), (starts, _), (ids, counts) in zip(blocks, cuts, encoded, strict=True):
                 yield emit(bpe, batch, ids, ids_per_document(starts, counts, offs))
+        trim()
 
     def emit(bpe: PairIndexBPE, batch: pa.RecordBatch, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         columns: dict[str, list] = {c: [] for c in keep}

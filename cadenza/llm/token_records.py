@@ -81,7 +81,6 @@ def library_encoder(path: str) -> ChunkEncoder:
         tok.no_truncation()
         tok.no_padding()
 
-
         def encode(chunks: list[bytes]) -> list[list[int]]:
             out: list[list[int]] = []
             for at in range(0, len(chunks), 2_000):  # the library's results are large
