@@ -1,18 +1,18 @@
 """Models that recurse over a series: Croston SBA, TSB, Theta, ETS, ARIMA, CES.
 
-A series' rows meet in one grouped Arrow call that forecasts all its windows: parameters are chosen on
-the first window's history and only re-run on longer histories. Grids are vectorised over parameters,
-so tuning is one pass over time with a vector of states. Theta, ETS, ARIMA and CES are documented small
-families; they claim no parity with any library's automatic choice.
+A completed panel is rectangular, so whole series arrive as matrices (series, periods) in Arrow batches. Croston and TSB run
+over all series, and when tuned over all weights, in one loop over the periods; the other
+families run series by series. Parameters are chosen on the first window's history and only re-run on longer
+histories. Theta, ETS, ARIMA and CES are documented small families; they claim no parity with any library's automatic choice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +21,11 @@ from ..plans.spec import PanelSpec
 from ..plans.windows import Windows
 
 Z = NormalDist()
-
-
-def levels(x: np.ndarray, alpha: float) -> np.ndarray:
-    """The level after each value, from the first value on."""
-    out, level = np.empty(len(x)), float(x[0])
-    out[0] = level
-    for k, v in enumerate(x[1:].tolist(), 1):
-        level = alpha * v + (1 - alpha) * level
-        out[k] = level
-    return out
+#: The weights among which CROSTON and TSB are tuned.
+CROSTON_GRID = np.round(np.arange(0.05, 0.3001, 0.01), 10)
+TSB_GRID = np.round(np.arange(0.02, 0.5001, 0.01), 10)
+#: Cells (series, weights, periods) of one matrix of levels, and rows that become one matrix of series.
+CELLS, ROWS = 8_000_000, 200_000
 
 
 def smooth(x: np.ndarray, alpha: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
@@ -45,98 +40,96 @@ def smooth(x: np.ndarray, alpha: np.ndarray | float) -> tuple[np.ndarray, np.nda
 
 
 # ---------------------------------------------------------------- intermittent demand
-def _demand(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.flatnonzero(y > 0)
-    return y[at], np.diff(at, prepend=-1).astype(float), at
-
-
-def croston(y: np.ndarray, size_alpha: float, interval_alpha: float) -> float:
-    """0.95 * smoothed size / smoothed interval."""
-    size, gap, _ = _demand(y)
-    if not len(size):
-        return 0.95 * float(y[-1])
-    s, g = smooth(size, size_alpha)[1][0], smooth(gap, interval_alpha)[1][0]
-    return 0.95 * s / g if g else 0.95 * s
-
-
-def _spread(fitted: np.ndarray, forecast: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Per-demand levels on the time line: what was known before each period."""
-    values = np.concatenate((fitted[:, 1:], forecast[:, None]), axis=1)  # known after demand 1, 2, ...
-    known = np.searchsorted(at, np.arange(n), "left")  # demands before each period
-    out = np.full((len(values), n), np.nan)
-    out[:, known > 0] = values[:, known[known > 0] - 1]
+def demand_levels(y: np.ndarray, size_alpha: np.ndarray, gap_alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Smoothed sizes and gaps of positive demand after each period, and whether there was any: (series, weights, periods), (series, periods).
+
+    ``y``: (series, periods); weights: (series or 1, weights). The first demand starts both levels; its gap counts from before the first period.
+    """
+    n, periods = y.shape
+    k = max(size_alpha.shape[1], gap_alpha.shape[1] if gap_alpha is not None else 1)
+    sizes, gaps, known = np.zeros((n, k, periods)), None if gap_alpha is None else np.zeros((n, k, periods)), np.zeros((n, periods), bool)
+    size, gap, last, seen = np.zeros((n, k)), np.zeros((n, k)), np.full(n, -1), np.zeros(n, bool)
+    for t in range(periods):
+        at = np.flatnonzero(y[:, t] > 0)
+        if len(at):
+            old = seen[at][:, None]
+            a = np.broadcast_to(size_alpha, (n, k))[at]
+            size[at] = np.where(old, a * y[at, t][:, None] + (1 - a) * size[at], y[at, t][:, None])
+            if gaps is not None:
+                b, own = np.broadcast_to(gap_alpha, (n, k))[at], (t - last[at]).astype(float)[:, None]
+                gap[at] = np.where(old, b * own + (1 - b) * gap[at], own)
+            last[at], seen[at] = t, True
+        sizes[:, :, t], known[:, t] = size, seen
+        if gaps is not None:
+            gaps[:, :, t] = gap
+    return sizes, gaps, known
+
+
+def chance_levels(y: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Smoothed chance of demand after each period, from the first period on: (series, weights, periods)."""
+    x = (y != 0).astype(float)
+    out = np.empty((len(y), alpha.shape[1], y.shape[1]))
+    level = np.broadcast_to(x[:, :1], out.shape[:2]).copy()
+    out[:, :, 0] = level
+    for t in range(1, y.shape[1]):
+        level = alpha * x[:, t][:, None] + (1 - alpha) * level
+        out[:, :, t] = level
     return out
 
 
-def tune_croston(y: np.ndarray) -> tuple[float, float]:
-    grid = np.round(np.arange(0.05, 0.3001, 0.01), 10)
-    size, gap, at = _demand(y)
-    if not len(size):
-        return float(grid[0]), float(grid[0])
-    s, g = _spread(*smooth(size, grid), at, len(y)), _spread(*smooth(gap, grid), at, len(y))
-    g = np.where(g == 0, 1, g)
-    error = np.array([np.nanmean((0.95 * row / g - y) ** 2, axis=1) if np.isfinite(row).any() else np.full(len(grid), np.inf) for row in s])
-    a, b = np.unravel_index(int(np.nanargmin(np.where(np.isfinite(error), error, np.inf))), error.shape)  # first of ties: size weight outside
-    return float(grid[a]), float(grid[b])
-
-
-def tsb(y: np.ndarray, size_alpha: float, chance_alpha: float) -> tuple[float, float]:
-    """Smoothed chance of demand, smoothed positive size; their product is the forecast."""
-    size, _, _ = _demand(y)
-    if not len(size):
-        return 0.0, 0.0
-    return float(smooth((y != 0).astype(float), chance_alpha)[1][0]), float(smooth(size, size_alpha)[1][0])
-
-
-def tsb_fitted(y: np.ndarray, size_alpha, chance_alpha) -> np.ndarray:
-    """(size weights, chance weights, periods)."""
-    size, _, at = _demand(y)
-    sizes = _spread(*smooth(size, size_alpha), at, len(y))
-    chance = smooth((y != 0).astype(float), chance_alpha)[0]
-    return sizes[:, None, :] * chance[None, :, :]
-
-
-def tune_tsb(y: np.ndarray) -> tuple[float, float]:
-    grid = np.round(np.arange(0.02, 0.5001, 0.01), 10)
-    if not (y > 0).any():
-        return float(grid[0]), float(grid[0])
-    size, _, at = _demand(y)
-    sizes, chance = _spread(*smooth(size, grid), at, len(y)), smooth((y != 0).astype(float), grid)[0]
-    known = np.isfinite(sizes[0]) & np.isfinite(chance[0])
-    if not known.any():
-        return float(grid[0]), float(grid[0])
-    s, c, t = sizes[:, known], chance[:, known], y[known]
-    # the mean of (s * c - y)^2 for all pairs of weights, from three sums of products
-    error = ((s * s) @ (c * c).T - 2 * (s * t) @ c.T + (t * t).sum()) / len(t)
-    error = np.round(error, 12)  # ties aren't decided by rounding errors
-    a, b = np.unravel_index(int(error.argmin()), error.shape)
-    return float(grid[a]), float(grid[b])
-
-
-def croston_all(y: np.ndarray, params: tuple[float, float], cuts: list[int]) -> np.ndarray:
-    """The forecast after each cutoff, in one pass: smoothing up to a cutoff is a prefix of smoothing to the end."""
-    size, gap, at = _demand(y)
-    known = np.searchsorted(at, cuts)  # demands up to each cutoff
-    if not len(size):
-        return 0.95 * y[np.array(cuts) - 1]
-    s, g = levels(size, params[0]), levels(gap, params[1])
-    ratio = np.where(g > 0, s / np.where(g > 0, g, 1), s)
-    return 0.95 * np.where(known > 0, ratio[np.maximum(known, 1) - 1], y[np.array(cuts) - 1])
-
-
-def tsb_all(y: np.ndarray, params: tuple[float, float], cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chance, size and residual sigma after each cutoff."""
-    size, _, at = _demand(y)
-    cuts = np.array(cuts)
-    if not len(size):
-        return np.zeros(len(cuts)), np.zeros(len(cuts)), np.zeros(len(cuts))
-    chance, sizes = levels((y != 0).astype(float), params[1]), levels(size, params[0])
-    known = np.searchsorted(at, cuts)
-    before = np.searchsorted(at, np.arange(len(y)))
-    fitted = np.concatenate(([np.nan], chance[:-1])) * np.where(before > 0, sizes[np.maximum(before, 1) - 1], np.nan)
-    squares = np.cumsum(np.nan_to_num((fitted - y) ** 2))
-    some = known > 0
-    return np.where(some, chance[cuts - 1], 0.0), np.where(some, sizes[np.maximum(known, 1) - 1], 0.0), np.where(some, np.sqrt(squares[cuts - 1] / cuts), 0.0)
+def _best_pair(one: np.ndarray, other: np.ndarray, factor: float, y: np.ndarray, known: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """(series, 2): the weights with the least mean of (factor * one * other - y)^2 over known periods, from three sums of products; first of ties."""
+    one, other, y = factor * np.where(known[:, None, :], one, 0), np.where(known[:, None, :], other, 0), np.where(known, y, 0)
+    turned = other.transpose(0, 2, 1)
+    error = (one * one) @ (turned * turned) - 2 * (one * y[:, None, :]) @ turned + (y * y).sum(1)[:, None, None]
+    error = np.round(error / np.maximum(known.sum(1), 1)[:, None, None], 6)  # ties aren't decided by rounding errors
+    best = error.reshape(len(y), -1).argmin(1)
+    best[~known.any(1)] = 0
+    return np.stack((grid[best // len(grid)], grid[best % len(grid)]), axis=1)
+
+
+def _slices(n: int, periods: int, weights: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, periods * weights))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def tune_croston(y: np.ndarray) -> np.ndarray:
+    """(series, 2): weights of size and gap. Fitted values are those known before a period."""
+    out = []
+    for part in _slices(*y.shape, len(CROSTON_GRID)):
+        sizes, gaps, known = demand_levels(y[part], CROSTON_GRID[None, :], CROSTON_GRID[None, :])
+        before = known[:, :-1]
+        out.append(_best_pair(sizes[:, :, :-1], 1 / np.where(gaps[:, :, :-1] > 0, gaps[:, :, :-1], 1), 0.95, y[part][:, 1:], before, CROSTON_GRID))
+    return np.concatenate(out) if out else np.zeros((0, 2))
+
+
+def tune_tsb(y: np.ndarray) -> np.ndarray:
+    """(series, 2): weights of size and chance."""
+    out = []
+    for part in _slices(*y.shape, len(TSB_GRID)):
+        sizes, _, known = demand_levels(y[part], TSB_GRID[None, :], None)
+        chances = chance_levels(y[part], TSB_GRID[None, :])
+        out.append(_best_pair(sizes[:, :, :-1], chances[:, :, :-1], 1.0, y[part][:, 1:], known[:, :-1], TSB_GRID))
+    return np.concatenate(out) if out else np.zeros((0, 2))
+
+
+def croston(y: np.ndarray, params: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(series, cutoffs): 0.95 * smoothed size / smoothed gap; without demand so far 0.95 * the last value. Smoothing to a cutoff is a prefix of smoothing to the end."""
+    sizes, gaps, known = demand_levels(y, params[:, :1], params[:, 1:])
+    at = cuts - 1
+    s, g = sizes[:, 0, at], gaps[:, 0, at]
+    return 0.95 * np.where(known[:, at], s / np.where(g > 0, g, 1), y[:, at])
+
+
+def tsb(y: np.ndarray, params: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(series, cutoffs) each: smoothed chance, smoothed size, sigma of the residuals; the forecast is chance * size, zero without demand so far."""
+    sizes, _, known = demand_levels(y, params[:, :1], None)
+    chance, size = chance_levels(y, params[:, 1:])[:, 0], sizes[:, 0]
+    squares = np.zeros(y.shape)
+    squares[:, 1:] = np.where(known[:, :-1], (chance[:, :-1] * size[:, :-1] - y[:, 1:]) ** 2, 0)
+    at = cuts - 1
+    some = known[:, at]
+    return np.where(some, chance[:, at], 0.0), np.where(some, size[:, at], 0.0), np.where(some, np.sqrt(np.cumsum(squares, axis=1)[:, at] / cuts), 0.0)
 
 
 def tsb_quantile(q: float, chance: float, size: float, sigma: float) -> float:
@@ -321,60 +314,77 @@ FAMILIES = {"THETA": Theta, "ETS": ETS, "ARIMA": ARIMA, "CES": CES}
 RECURSIVE = ("CROSTON", "TSB", *FAMILIES)
 
 
-# ---------------------------------------------------------------- grouped execution
-def _forecaster(model: str, season: int, fixed: tuple[float, float] | None) -> tuple[Callable, Callable]:
-    """(fit(history) -> params, run(y, params, cuts, h, quantiles) -> {q: (cuts, h) values}, the point under None)."""
-    every = lambda x, h: np.repeat(np.asarray(x, float)[:, None], h, 1)
-    if model == "CROSTON":
-        return (lambda y: fixed or tune_croston(y)), lambda y, p, cuts, h, qs: {None: every(croston_all(y, p, cuts), h)}
-    if model == "TSB":
-
-        def run(y, p, cuts, h, qs):
-            chance, size, sigma = tsb_all(y, p, cuts)
-            return {None: every(chance * size, h)} | {q: every([tsb_quantile(q, *x) for x in zip(chance, size, sigma, strict=True)], h) for q in qs}
-
-        return (lambda y: fixed or tune_tsb(y)), run
+# ---------------------------------------------------------------- execution
+def forecast_matrix(y: np.ndarray, cuts: np.ndarray, horizon: int, season: int, model: str, quantiles: tuple[float, ...] = (), fixed: tuple[float, float] | None = None) -> dict[float | None, np.ndarray]:
+    """Values (series, cutoffs, steps) of a model by quantile, the point under None; ``y`` is (series, periods), cutoffs count periods."""
+    shape = (len(y), len(cuts), horizon)
+    every = lambda x: np.broadcast_to(np.asarray(x)[:, :, None], shape)
+    if model in ("CROSTON", "TSB"):
+        given = None if fixed is None else np.broadcast_to(np.array(fixed, float), (len(y), 2))
+        if model == "CROSTON":
+            return {None: every(croston(y, tune_croston(y[:, : cuts[0]]) if given is None else given, cuts))}
+        parts = tsb(y, tune_tsb(y[:, : cuts[0]]) if given is None else given, cuts)
+        found = {None: every(parts[0] * parts[1])}
+        return found | {q: every(np.array([tsb_quantile(q, *x) for x in zip(*(p.ravel().tolist() for p in parts), strict=True)]).reshape(shape[:2])) for q in quantiles}
     if model not in FAMILIES:
         raise ValueError(f"unknown model {model!r}")
-    own = FAMILIES[model]()
-
-    def normal(y, p, cuts, h, qs):
-        mean, sigma = map(np.array, zip(*(own.forecast(y[:c], p, h) for c in cuts), strict=True))
-        return {None: mean} | {q: mean + Z.inv_cdf(q) * sigma for q in qs}
-
-    return (lambda y: own.fit(y, season)), normal
+    family, mean, sigma = FAMILIES[model](), np.empty(shape), np.empty(shape)
+    for k, row in enumerate(y):
+        params = family.fit(row[: cuts[0]], season)
+        for c, cut in enumerate(cuts.tolist()):
+            mean[k, c], sigma[k, c] = family.forecast(row[:cut], params, horizon)
+    return {None: mean} | {q: mean + Z.inv_cdf(q) * sigma for q in quantiles}
+
+
+def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole series, from rows in order of series and period."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            heads = np.flatnonzero(table["t"].to_numpy() == 1)
+            if len(heads) > 1:  # the last one may go on
+                yield table.slice(0, heads[-1])
+                held = table.slice(heads[-1]).to_batches()
+                rows = sum(b.num_rows for b in held)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def recursive(panel: DataFrame, spec: PanelSpec, windows: Windows, season: int, model: str, quantiles: tuple[float, ...] = (), fixed: tuple[float, float] | None = None) -> DataFrame:
     """Long forecasts of a completed panel by one of RECURSIVE; ``fixed`` weights skip the tuning of CROSTON and TSB.
 
-    One group holds one series, whose length is that of the calendar. CROSTON has points only.
+    The panel is dealt by series; a task holds the matrix of some series, not one group at a time. CROSTON has points only.
     """
-    fit, run = _forecaster(model, season, fixed)
-    h = windows.horizon
-
-    def series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = pdf["y"].to_numpy(float)
-        first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
-        cuts = [c for c in range(first, last + 1, windows.step) if c >= 1]
-        if not cuts:
-            return pd.DataFrame(columns=["id", "ds", "ct", "step", "y", "q", "value"])
-        found = run(y, fit(y[: cuts[0]]), cuts, h, quantiles)
-        at = (np.array(cuts)[:, None] + np.arange(h)).ravel()
-        n = len(found)
-        return pd.DataFrame(
-            {
-                "id": pdf["id"].iloc[0],
-                "ds": np.tile(pdf["ds"].to_numpy()[at], n),
-                "ct": np.tile(np.repeat(cuts, h), n),
-                "step": np.tile(np.arange(1, h + 1), n * len(cuts)),
-                "y": np.tile(y[at], n),
-                "q": np.repeat([np.nan if q is None else q for q in found], len(at)),
-                "value": np.concatenate([v.ravel() for v in found.values()]),
-            }
-        )
-
+    if model not in RECURSIVE:
+        raise ValueError(f"unknown model {model!r}")
+    h, step = windows.horizon, windows.step
     rows = panel.select(F.col(spec.id).alias("id"), F.col(spec.time).alias("ds"), "t", F.col(spec.target).cast("double").alias("y"), windows.first(F.col("periods")).alias("first"), windows.last(F.col("periods")).alias("last"))
-    out = rows.groupBy("id").applyInPandas(series, f"id {dict(rows.dtypes)['id']}, ds date, ct int, step int, y double, q double, value double")
+    layout = f"id {dict(rows.dtypes)['id']}, ds date, ct int, step int, y double, q double, value double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_series(batches):
+            t = table["t"].to_numpy()
+            n = int((t == 1).sum())
+            periods = len(t) // max(n, 1)
+            if not n or not np.array_equal(t, np.tile(np.arange(1, periods + 1), n)):
+                raise ValueError("the panel isn't complete")
+            first, last = (table[c][0].as_py() for c in ("first", "last"))
+            cuts = np.array([c for c in range(first, last + 1, step) if c >= 1], np.int64)
+            if not len(cuts):
+                continue
+            y = table["y"].to_numpy().reshape(n, periods)
+            found = forecast_matrix(y, cuts, h, season, model, quantiles, fixed)
+            inner = (cuts[:, None] + np.arange(h)).ravel()  # position of each forecast row
+            at = (np.arange(n)[:, None] * periods + inner).ravel()
+            ids, ds, truth = table["id"].combine_chunks().take(pa.array(at)), table["ds"].combine_chunks().take(pa.array(at)), y.ravel()[at]
+            ct, steps = np.tile(np.repeat(cuts, h), n).astype(np.int32), np.tile(np.arange(1, h + 1), n * len(cuts)).astype(np.int32)
+            for q, values in found.items():
+                quantile = pa.array(np.full(len(at), np.nan if q is None else q))
+                yield pa.RecordBatch.from_arrays([ids, ds, pa.array(ct), pa.array(steps), pa.array(truth), quantile, pa.array(np.ascontiguousarray(values).ravel())], ["id", "ds", "ct", "step", "y", "q", "value"])
+
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartition(parts, "id").sortWithinPartitions("id", "t").mapInArrow(run, layout)
     return out.select("id", "ds", "ct", "step", "y", F.lit(model).alias("model"), F.when(~F.isnan("q"), F.col("q")).alias("q"), "value")

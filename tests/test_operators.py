@@ -108,38 +108,68 @@ def test_category_encoding(spark):
     assert got == {"x": (6 + 4) / 3, "single": 4.0, "unseen": 4.0, None: 4.0} and new.future == ("k_encoded",)
 
 
+def one(y, params=(0.1, 0.1)):
+    return np.array(y, float)[None, :], np.array([params], float), np.array([len(y)])
+
+
 def test_intermittent_models_by_hand():
-    y = np.array([0, 3, 0, 0, 6, 0, 2, 0], float)
-    assert round(recursive.croston(y, 0.1, 0.1), 6) == 1.440909
-    chance, size = recursive.tsb(y, 0.1, 0.1)
+    y = [0, 3, 0, 0, 6, 0, 2, 0]
+    assert round(float(recursive.croston(*one(y))[0, 0]), 6) == 1.440909
+    chance, size, _ = (float(x[0, 0]) for x in recursive.tsb(*one(y)))
     assert (round(chance, 6), round(size, 6), round(chance * size, 6)) == (0.216044, 3.17, 0.68486)
-    zero = np.zeros(4)
-    assert recursive.croston(zero, 0.1, 0.1) == 0 and recursive.tsb(zero, 0.1, 0.1) == (0, 0)
-
-
-def test_one_pass_equals_a_fit_per_cutoff():
-    r = np.random.default_rng(5)
-    for _ in range(20):
-        y = r.poisson(0.4, 40) * r.integers(1, 9, 40).astype(float)
-        cuts = list(range(2, 41))
-        assert np.allclose(recursive.croston_all(y, (0.2, 0.1), cuts), [recursive.croston(y[:c], 0.2, 0.1) for c in cuts])
-        chance, size, sigma = recursive.tsb_all(y, (0.2, 0.1), cuts)
-        for c, a, b, s in zip(cuts, chance, size, sigma):
-            assert np.allclose((a, b), recursive.tsb(y[:c], 0.2, 0.1)) or not (y[:c] > 0).any()
-            if b:
-                e = recursive.tsb_fitted(y[:c], 0.2, 0.1)[0, 0] - y[:c]
-                assert math.isclose(s, math.sqrt(np.nansum(e * e) / c), abs_tol=1e-9)
-
-
-def test_tuning_finds_the_least_error():
-    r = np.random.default_rng(3)
-    y = r.poisson(0.5, 30) * r.integers(1, 9, 30).astype(float)
-    grid = np.round(np.arange(0.02, 0.5001, 0.01), 10)
-    a, b = recursive.tune_tsb(y)
-    error = lambda i, j: np.nanmean((recursive.tsb_fitted(y, i, j)[0, 0] - y) ** 2)
-    assert error(a, b) <= min(error(i, j) for i in grid[::6] for j in grid[::6]) + 1e-9
-    a, b = recursive.tune_croston(y)
-    assert 0.05 <= a <= 0.3 and 0.05 <= b <= 0.3
+    assert recursive.croston(*one([0] * 4))[0, 0] == 0 and recursive.tsb(*one([0] * 4))[1][0, 0] == 0
+
+
+def plain_levels(values, alpha):
+    out = values[:1]
+    for v in values[1:]:
+        out.append(alpha * v + (1 - alpha) * out[-1])
+    return out
+
+
+def plain_fitted(y, a, b, kind):
+    """One value a period, known before it: None before the first demand."""
+    out = []
+    for t in range(len(y)):
+        at = [k for k in range(t) if y[k] > 0]
+        if not at:
+            out.append(None)
+            continue
+        size = plain_levels([y[k] for k in at], a)[-1]
+        if kind == "croston":
+            out.append(0.95 * size / plain_levels([float(k - j) for j, k in zip([-1, *at], at)], b)[-1])
+        else:
+            out.append(size * plain_levels([float(v != 0) for v in y[:t]], b)[-1])
+    return out
+
+
+def demand(seed, n=40, share=0.4):
+    r = np.random.default_rng(seed)
+    return np.where(r.random(n) < share, r.integers(1, 9, n), 0).astype(float)
+
+
+def test_matrices_equal_a_plain_loop_per_series_and_cutoff():
+    series, cuts = np.stack([demand(1), demand(2, share=0.1), np.zeros(40), demand(3, share=1.0)]), np.array([1, 7, 25, 40])
+    params = np.array([(0.2, 0.1), (0.05, 0.3), (0.1, 0.1), (0.3, 0.05)])
+    c, (chance, size, sigma) = recursive.croston(series, params, cuts), recursive.tsb(series, params, cuts)
+    for k, y in enumerate(series):
+        for j, cut in enumerate(cuts):
+            f = [plain_fitted([*y[:cut], 0], *params[k], kind) for kind in ("croston", "tsb")]
+            assert np.isclose(c[k, j], 0.95 * y[cut - 1] if f[0][-1] is None else f[0][-1])
+            assert np.isclose(chance[k, j] * size[k, j], f[1][-1] or 0)
+            e = [v - x for v, x in zip(f[1][:-1], y) if v is not None]
+            assert np.isclose(sigma[k, j], np.sqrt(sum(x * x for x in e) / cut) if f[1][-1] is not None else 0)
+
+
+@pytest.mark.parametrize("tune,kind,grid", [(recursive.tune_croston, "croston", recursive.CROSTON_GRID), (recursive.tune_tsb, "tsb", recursive.TSB_GRID)])
+def test_tuning_finds_the_least_error(tune, kind, grid):
+    series = np.stack([demand(5), demand(6, share=0.15), np.zeros(40)])
+    got = tune(series)
+    assert got[2].tolist() == [grid[0]] * 2
+    for k in range(2):
+        y = series[k].tolist()
+        error = lambda a, b: np.mean([(v - x) ** 2 for v, x in zip(plain_fitted(y, a, b, kind), y) if v is not None])
+        assert error(*got[k]) <= min(error(a, b) for a in grid[::5] for b in grid[::5]) + 1e-6
 
 
 def test_tsb_quantiles_follow_the_simulation():
