@@ -39,9 +39,16 @@ CLUTTER = frozenset(
 #: Parts of names that say nothing of what an element holds: 'nav-left' is clutter as 'nav' is, 'has-sidebar' or 'main-header-layout' isn't.
 NEUTRAL = frozenset("container area wrapper wrap box list left right top bottom block inner outer links link icons buttons bar items item site primary secondary mobile".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: Levels of a path and of marked elements that are told apart; what lies deeper counts as of the last one. Keeps the time of any page in proportion to its length.
+DEPTH, MARKS = 200, 50
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
+#: Fixed: elements whose end tag may be left out before one of their kind, and what they stand in.
+_SAME = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+_AROUND = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dd": ("dl",), "dt": ("dl",)}
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
@@ -91,54 +98,101 @@ def _without_clutter(raw: list[tuple[tuple[str, ...], list[tuple[str, bool, tupl
     return out
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Position of the ``>`` that ends a tag whose name ends at ``at``: the first outside quotes, or the first of all if a quote isn't closed; -1 if there is none."""
+    pos = at
+    while m := _QUOTE_OR_END.search(page, pos):
+        if m[0] == ">":
+            return m.start()
+        pos = page.find(m[0], m.end()) + 1
+        if not pos:
+            break
+    return page.find(">", at)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page in one forward pass; kinds: text, open, close. Comments, declarations and the insides of raw elements are left out."""
+    at, text, last = 0, 0, page.rfind(">")
+    while (i := page.find("<", at)) >= 0 and i + 1 < len(page):
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = len(page) if end < 0 else end + 3
+            kind = ""
+        elif i > last:
+            break  # no tag ends behind this
+        else:
+            closing = page[i + 1] == "/"
+            if m := _NAME.match(page, i + 1 + closing):
+                end, kind = _tag_end(page, m.end()) + 1, "close" if closing else "open"
+            elif page[i + 1] in "!?/":
+                end, kind = page.find(">", i + 1) + 1, ""
+            else:
+                at = i + 1
+                continue
+        if i > text:
+            yield "text", page[text:i], ""
+        at = text = end
+        if kind:
+            name = m[0].lower()
+            yield kind, name, page[m.end() : end - 1]
+            if kind == "open" and name in _RAW_END:
+                found = _RAW_END[name].search(page, end)
+                end = page.find(">", found.end()) + 1 if found else 0
+                at = text = end or len(page)
+    if text < len(page):
+        yield "text", page[text:], ""
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block with text, clutter left out, in page order."""
     out: list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, whether it is a block, what clutter starts here
+    places: dict[str, list[int]] = defaultdict(list)  # where a tag stands in the stack
+    scopes: list[int] = []  # where blocks stand
     path: list[str] = []
     parts: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, the marked elements around it
     marks: tuple[int, ...] = ()
-    cluttered, links, articles, marked = 0, 0, 0, 0
+    cluttered, links, articles, marked, unmarked = 0, 0, 0, 0, 0
 
     def close_block() -> None:
         if parts:
-            out.append((tuple(path), parts.copy()))
+            out.append((tuple(path[:DEPTH]), parts.copy()))
             parts.clear()
 
     def pop() -> None:
-        nonlocal cluttered, links, articles, marks
+        nonlocal cluttered, links, articles, marks, unmarked
         tag, block, bad = stack.pop()
+        places[tag].pop()
         if block:
             close_block()
             path.pop()
+            scopes.pop()
         cluttered -= bad == 2
-        marks = marks[:-1] if bad == 1 else marks
+        if bad == 1 and unmarked:
+            unmarked -= 1
+        elif bad == 1:
+            marks = marks[:-1]
         links -= tag == "a"
         articles -= tag in ("article", "main")
 
-    at = 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not cluttered:
-            parts.append((text, links > 0, marks))
-        if not m:
-            break
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+    def top(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            if not cluttered:
+                parts.append((tag, links > 0, marks))
             continue
-        tag = name.lower()
-        if closing:
-            if tag in VOID or not any(s[0] == tag for s in stack):
+        if kind == "close":
+            if tag in VOID or not places[tag]:
                 if tag in BLOCKS:
                     close_block()
                 continue
-            if tag not in BLOCKS and any(s[1] for s in stack[max(k for k, s in enumerate(stack) if s[0] == tag) :]):
+            if tag not in BLOCKS and scopes and scopes[-1] > places[tag][-1]:
                 continue  # an inline end tag doesn't close blocks
-            while stack[-1][0] != tag:
+            at = places[tag][-1]
+            while len(stack) > at:
                 pop()
-            pop()
             continue
         if tag in ("br", "hr", "wbr"):
             if not cluttered and tag != "wbr":
@@ -146,43 +200,35 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag == "hr":
                 close_block()
             continue
-        if tag in VOID:
-            continue
-        if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
+        if tag in VOID or tag in _RAW_END:
             continue
         block = tag in BLOCKS
         if block:
             # end tags that HTML lets pages leave out
-            if any(s[0] == "p" for s in stack):
-                scope = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1]), -1)
-                if scope >= 0 and stack[scope][0] == "p":
-                    while len(stack) > scope:
-                        pop()
-            if tag in ("li", "td", "th", "tr", "dd", "dt"):
-                same = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}[tag]
-                around = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dd": ("dl",), "dt": ("dl",)}[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in around:
-                        break
-                    if stack[k][0] in same:
-                        while len(stack) > k:
-                            pop()
-                        break
+            if places["p"] and scopes and stack[scopes[-1]][0] == "p":
+                at = scopes[-1]
+                while len(stack) > at:
+                    pop()
+            if tag in _SAME and (at := top(_SAME[tag])) > top(_AROUND[tag]):
+                while len(stack) > at:
+                    pop()
             close_block()
-        bad = _clutter(tag, attributes or "", articles > 0)
-        if attributes and attributes.endswith("/") and not block:
+        bad = _clutter(tag, attributes, articles > 0)
+        if attributes.endswith("/") and not block:
             continue
+        places[tag].append(len(stack))
+        if block:
+            scopes.append(len(stack))
+            path.append(tag)
         stack.append((tag, block, bad))
         cluttered += bad == 2
-        if bad == 1:
+        if bad == 1 and len(marks) < MARKS:
             marked += 1
             marks = (*marks, marked)
+        elif bad == 1:
+            unmarked += 1
         links += tag == "a"
         articles += tag in ("article", "main")
-        if block:
-            path.append(tag)
     while stack:
         pop()
     close_block()
@@ -219,7 +265,8 @@ def main_text(page: str, threshold: float = 0.2) -> str:
     # article and main lower the bar for what is in them, and take nothing from other paths
     bar = threshold * max(best.values())
     chosen = {p for p, v in best.items() if v * (2 if "article" in p or "main" in p else 1) >= bar and sums[p][0] > 0} or set(best)
-    menu = [linked > 0.9 * len(text) and path[-1:] in (("li",), ("td",), ("dd",), ("dt",)) and not _PUNCTUATION.search(text) for path, text, linked in found]
+    # items of links alone are a menu, but in the article a list of sources or a linked cell
+    menu = [linked > 0.9 * len(text) and not {"article", "main"} & set(path) and path[-1:] in (("li",), ("td",), ("dd",), ("dt",)) and not _PUNCTUATION.search(text) for path, text, linked in found]
     return "\n".join(text for (_, text, _), k, m in zip(found, _with_neighbours([p for p, _, _ in found], chosen), menu, strict=True) if k and not m)
 
 
@@ -251,8 +298,11 @@ def _with_neighbours(paths: list[tuple[str, ...]], chosen: set[tuple[str, ...]])
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per page: id, the columns of ``keep``, ``text`` (empty if none) and ``n_chars``, its code points.
 
-    White space within a block becomes one space, blocks are joined by LF; null html is empty. No shuffle; other columns aren't read.
+    White space within a block becomes one space, blocks are joined by LF; null html is empty. An empty table gives no rows,
+    repeated rows one each. ``keep`` may not name ``text`` or ``n_chars``. No shuffle; other columns aren't read.
     """
+    if taken := {"text", "n_chars"} & {id_col, *keep}:
+        raise ValueError(f"{', '.join(sorted(taken))}: the result has columns of these names")
     small_batches(pages.sparkSession)
     source = pages.select(F.struct(id_col, *keep).alias("row"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
