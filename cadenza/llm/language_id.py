@@ -6,8 +6,8 @@ of all its trigrams. Decoding sums a logistic loss of the margins against each c
 bit's classifier does on the sample, and takes the codeword with the least sum; a small lead over
 the second flags the document as ambiguous.
 
-Only the fit is on a sample: ``sample_rows`` labelled documents, chosen by a hash of id and text and read
-whole. Prediction reads every whole text, in numpy over Arrow blocks, without a shuffle.
+Only the fit is on a sample: ``sample_rows`` labelled documents of at most ``SAMPLE_BYTES``, as many of each label where there
+are, chosen by a hash of id and text and read whole. Prediction reads every whole text, in numpy over Arrow blocks, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, small_batches, text_blocks
 
 #: Hash slots of trigrams; one more slot, without weight, takes what crosses documents.
 SLOTS = 1 << 16
+#: Longer texts aren't learned from, which bounds the sample in bytes.
+SAMPLE_BYTES = 1 << 16
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -141,18 +144,24 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 def language_id(docs: DataFrame, learn: Column, sample_rows: int = 4000, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: list[Column] | None = None, with_text: bool = False) -> DataFrame:
     """One row per input row: id (or the columns of ``keep``), the text if asked for, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``.
 
-    Learns from rows where ``learn`` holds and text and label aren't null, at most ``sample_rows`` of them.
+    Learns from rows where ``learn`` holds and text and label aren't null, at most ``sample_rows`` of them, the same number of
+    each label at most (of more labels than that, the most frequent ones). An empty table gives no rows; rows that repeat an id each get their own.
     ``und`` with score 0, flagged ambiguous: null texts, texts without a letter, or nothing to learn from. Labels and ids aren't
     read in predictions. Texts of fewer than three bytes have no trigram and are decoded from zero margins.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    able = docs.where(learn & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    able = docs.where(learn & F.col(label_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
     able = able.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    # hashes below this bound: half as many again as are taken, so that tasks send little more than the sample
-    bound = min(1.0, 1.5 * sample_rows / max(1, able.count()))
-    near = able.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < bound) if bound < 1 else able
-    sample = near.orderBy("h", "label", "text").limit(sample_rows).collect()
+    counts = able.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample_rows).collect()
+    sample = []
+    if counts:
+        each = max(1, sample_rows // len(counts))
+        # hashes below a bound by label: half as many again as are taken, so that tasks send little more than the sample
+        bounds = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(1.0, 1.5 * each / r["count"] + 1e-12))))
+        share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+        first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+        sample = able.where(share < bounds[F.col("label")]).withColumn("_n", first).where(F.col("_n") <= each).orderBy("h", "label", "text").collect()
     model = spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["label"] for r in sample]))
     kept = keep if keep is not None else [F.col(id_col)]
     source = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
