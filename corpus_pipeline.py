@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import bpe_encode
-from cadenza.llm.common import stored
+from cadenza.llm.common import row_key, stored
 from cadenza.llm.language_id import language_id
 from cadenza.llm.line_dedup import line_dedup
 from cadenza.llm.mixing import mix_sources, with_topic
@@ -36,17 +36,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.where(r"n_dropped = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Decisions are about rows, whose ids may be null or repeated: a key of id and text joins them back."""
+    k1, k2 = row_key("doc_id", "text")
+    return docs.withColumns({"_k1": k1, "_k2": k2})
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates at five words and 0.8, the least id stays."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Of near duplicates at five words and 0.8, the least id stays; of several texts with that id, or without any id, one."""
+    kept = near_dedup(docs, with_key=True).where("leader").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    return _keyed(docs).join(kept, ["_k1", "_k2"], "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources, languages and topics are brought to tempered token shares; seven tenths of the tokens stay, or as much less as the shares take."""
-    cells = stored(with_topic(docs, keep=("doc_id", "source", "lang")), "topics")
-    kept = mix_sources(cells, keep_share=0.7).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    cells = stored(with_topic(_keyed(docs), keep=("doc_id", "source", "lang", "_k1", "_k2")), "topics")
+    kept = mix_sources(cells, keep_share=0.7).select("_k1", "_k2")
+    return _keyed(docs).join(kept, ["_k1", "_k2"], "left_semi").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
