@@ -10,6 +10,7 @@ piece-by-piece loop.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -27,7 +28,7 @@ from .common import binary, small_batches, text_blocks, trim
 
 
 #: New chunks that one pair index takes, which bounds its memory.
-CHUNKS_AT_ONCE = 100_000
+CHUNKS_AT_ONCE = 50_000
 
 
 class PairIndexBPE:
@@ -195,7 +196,9 @@ _LOADED: dict[str, tuple[PairIndexBPE, ChunkEncoder]] = {}
 def loaded(path: str) -> tuple[PairIndexBPE, ChunkEncoder]:
     if path not in _LOADED:
         bpe = PairIndexBPE(path)
-        _LOADED[path] = bpe, ChunkEncoder(bpe.encode, CACHE_BYTES // 2)
+        _LOADED[path] = bpe, ChunkEncoder(bpe.encode, CACHE_BYTES // 3)
+        gc.collect()
+        trim()  # the parsed file is larger than what is kept of it
     return _LOADED[path]
 
 
@@ -212,13 +215,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = loaded(tokenizer)
-        for whole in batches:
-            blocks = list(text_blocks(iter([whole])))
-            cuts = [word_cuts(data, offs) for _, data, offs in blocks]
-            encoded = encoder([(data, *cut) for (_, data, _), cut in zip(blocks, cuts, strict=True)])
-            for (batch, _, offs), (starts, _), (ids, counts) in zip(blocks, cuts, encoded, strict=True):
-                yield emit(bpe, batch, ids, ids_per_document(starts, counts, offs))
-        trim()
+        for batch, data, offs in text_blocks(batches):
+            starts, ends = word_cuts(data, offs)
+            ids, counts = encoder([(data, starts, ends)])[0]
+            yield emit(bpe, batch, ids, ids_per_document(starts, counts, offs))
 
     def emit(bpe: PairIndexBPE, batch: pa.RecordBatch, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         columns: dict[str, list] = {c: [] for c in keep}

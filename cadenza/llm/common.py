@@ -95,7 +95,7 @@ def small_batches(spark: SparkSession) -> None:
 
     Session settings, since plans read them when they run; they suit other queries as well.
     """
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
         spark.conf.set(key, value)
 
 
