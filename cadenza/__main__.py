@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .plans.config import Config, arguments
-from .plans.runner import run_all
+from .plans.runner import JsonTracker, run_all
+from .sources.catalog import register_folders
 
 
 def main(argv: list[str] | None = None) -> int:
-    config = Config.load(arguments(argv).config_dir)
+    given = arguments(argv)
+    config = Config.load(given.config_dir)
     spark = SparkSession.builder.appName("cadenza").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    states = run_all(spark, config)
+    if config.data:
+        register_folders(config.data)
+    states = run_all(spark, config, tuple(given.task), JsonTracker(Path(given.tracker)) if given.tracker else None)
     for name, state in states.items():
         print(f"{name}: {state}")
     return int(any(s.startswith("failed") for s in states.values()))

@@ -14,7 +14,7 @@ from .spec import TASKS, Task
 
 log = logging.getLogger(__name__)
 PUBLIC = ("filepaths", "forecast", "metrics", "system", "task")
-KINDS = ("processed", "sku_stats", "cv", "eval", "plot")
+KINDS = ("filled", "processed", "sku_stats", "cv", "eval", "plot")
 
 
 def load_yaml(path: str | Path) -> dict:
@@ -41,6 +41,7 @@ class Config:
     gpus: int = 0
     format: FileFormat = FileFormat.FEATHER
     root: str = "data"
+    data: str = ""  # folder of the datasets, one merged Parquet table each
     tracker: dict = field(default_factory=dict)
 
     @classmethod
@@ -55,7 +56,7 @@ class Config:
             if bad := [x for x in given if x not in known]:
                 raise ValueError(f"unknown {kind}: {', '.join(bad)}")
         return cls(
-            tuple(TASKS[t] for t in names), models, metrics, int(public.get("seed", 42)), int(public.get("gpus", 0)), FileFormat.of(public.get("format", "feather")), str(public.get("root", "data")), dict(private or {})
+            tuple(TASKS[t] for t in names), models, metrics, int(public.get("seed", 42)), int(public.get("gpus", 0)), FileFormat.of(public.get("format", "feather")), str(public.get("root", "data")), str(public.get("data", "")), dict(private or {})
         )
 
     @classmethod
@@ -76,4 +77,6 @@ def output_path(root: str, kind: str, task: Task) -> str:
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Run forecasting benchmark tasks on Spark.")
     parser.add_argument("--config-dir", default="config")
+    parser.add_argument("--task", action="append", default=[], help="run this configured task only; may be repeated")
+    parser.add_argument("--tracker", help="a JSON-lines file of the driver that records runs")
     return parser.parse_args(argv)

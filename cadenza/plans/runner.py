@@ -59,14 +59,18 @@ class TaskPlan:
     spec: PanelSpec
     windows: Windows
 
+    #: Two columns of the panel as it came, whose first and last dates are the filled one's; null: the filled panel's.
+    dates: DataFrame | None = None
+
     @classmethod
     def bind(cls, task: Task, panel: DataFrame, spec: PanelSpec) -> TaskPlan:
         filled = fill(complete(select_panel(panel, spec), spec, task.frequency), spec)
-        return cls(task, filled, spec, Windows(task.horizon, task.train_share, task.step))
+        return cls(task, filled, spec, Windows(task.horizon, task.train_share, task.step), panel.select(spec.id, spec.time))
 
     @property
     def first_cutoff(self) -> DataFrame:
-        return cutoffs(self.panel, self.spec, self.task.frequency, self.windows).agg(F.min("cutoff").alias("cutoff"))
+        """One row; it needs two dates only, which the roll-up has before gaps are filled."""
+        return cutoffs(self.panel if self.dates is None else self.dates, self.spec, self.task.frequency, self.windows).agg(F.min("cutoff").alias("cutoff"))
 
     def stats(self) -> DataFrame:
         return series_stats(self.panel, self.spec, self.first_cutoff)
@@ -90,7 +94,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def run_task(spark: SparkSession, task: Task, config: Config, scaler: Scaler | None = None, tracker: Tracker | None = None, panel: tuple[DataFrame, PanelSpec] | None = None) -> str:
     """``done`` or ``skipped``. Each stage's result is written once and read by what follows; metrics are on the scaled target."""
-    paths = {k: output_path(config.root, k, task) for k in ("processed", "sku_stats", "cv", "eval")}
+    paths = {k: output_path(config.root, k, task) for k in ("filled", "processed", "sku_stats", "cv", "eval")}
     if exists(spark, paths["cv"]) and exists(spark, paths["eval"]):
         return "skipped"
     if tracker:
@@ -98,6 +102,9 @@ def run_task(spark: SparkSession, task: Task, config: Config, scaler: Scaler | N
     ok = False
     try:
         plan = TaskPlan.bind(task, *(panel or task_panel(spark, task)))
+        # the filled panel is written once: statistics, scaler and encoders are fits on it
+        write(plan.panel, paths["filled"], "parquet")
+        plan = TaskPlan(task, spark.read.parquet(paths["filled"]), plan.spec, plan.windows)
         write(plan.stats(), paths["sku_stats"], "parquet")
         ready, spec, _ = plan.prepared(scaler or Scaler())
         write(ready, paths["processed"], "parquet")
@@ -105,7 +112,7 @@ def run_task(spark: SparkSession, task: Task, config: Config, scaler: Scaler | N
         plan = TaskPlan(task, ready, spec, plan.windows)
         write(plan.forecasts(list(config.models)), paths["cv"], "parquet")
         cv = spark.read.parquet(paths["cv"])
-        check(cv)
+        check(cv, ready, plan.windows)
         write(plan.evaluated(drop_dead(cv), config.metrics), paths["eval"], "parquet")
         if tracker:
             tracker.metrics([r.asDict() for r in summary(spark.read.parquet(paths["eval"])).collect()])

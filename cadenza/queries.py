@@ -83,6 +83,10 @@ def _r(*names: str) -> list:
     return [F.round(F.col(f"`{n}`"), 6).alias(n) for n in names]
 
 
+#: Added before rounding where exact halves occur (means of a few whole numbers): the last bit of a sum would decide them.
+_OFF = 1e-9
+
+
 # ---------------------------------------------------------------- SQL building blocks
 def _with(name: str, more: str = "") -> str:
     raw, f, h = PANELS[name]
@@ -95,7 +99,7 @@ def _grid(f: Frequency, h: int) -> str:
     return f"""
 b AS (SELECT min(ds) AS lo, max(ds) AS hi FROM raw),
 cal AS (SELECT CAST(d AS DATE) AS ds, CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS t FROM (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL {step})) AS d FROM b)),
-p AS (SELECT i.id, c.ds, c.t, coalesce(r.y, 0) AS y FROM (SELECT DISTINCT id FROM raw) i CROSS JOIN cal c LEFT JOIN raw r ON r.id = i.id AND r.ds = c.ds),
+p AS MATERIALIZED (SELECT i.id, c.ds, c.t, coalesce(r.y, 0) AS y FROM (SELECT DISTINCT id FROM raw) i CROSS JOIN cal c LEFT JOIN raw r ON r.id = i.id AND r.ds = c.ds),
 k AS (SELECT n, CAST(n - round_even(0.8 * n, 0) AS INTEGER) AS nw FROM (SELECT max(t) AS n FROM cal)),
 c AS (SELECT CAST(unnest(range(n - {h} - (nw - 1), n - {h} + 1)) AS INTEGER) AS ct FROM k)"""
 
@@ -206,7 +210,7 @@ def bfill_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RICH = """WITH raw AS (SELECT CAST(l_partkey AS VARCHAR) AS id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds, sum(l_quantity) AS y, avg(l_discount) AS l_discount, min(p_type) AS p_type, min(p_size) AS p_size
  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""" + f""", {_grid(Frequency.MONTHLY, 3)},
 g AS (SELECT p.id, p.ds, p.t, p.y, r.l_discount, r.p_type, r.p_size FROM p LEFT JOIN raw r ON r.id = p.id AND r.ds = p.ds),
-f AS (SELECT id, ds, t, y, {", ".join(f"coalesce(first_value({x} IGNORE NULLS) OVER a, last_value({x} IGNORE NULLS) OVER z) AS {x}" for x in ("l_discount", "p_type", "p_size"))}
+f AS MATERIALIZED (SELECT id, ds, t, y, {", ".join(f"coalesce(first_value({x} IGNORE NULLS) OVER a, last_value({x} IGNORE NULLS) OVER z) AS {x}" for x in ("l_discount", "p_type", "p_size"))}
  FROM g WINDOW a AS (PARTITION BY id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), z AS (PARTITION BY id ORDER BY t ROWS UNBOUNDED PRECEDING)),
 c0 AS (SELECT min(ct) AS ct FROM c)
 """
@@ -221,12 +225,12 @@ _Q = features.STAT_QUANTILES
 
 
 def stat_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the target under the default scaler."""
     p = plan(spark, sf_dir, "part_month")
-    s = features.Scaler("standard")
+    s = features.Scaler()
     scaled = s.transform(p.panel, p.spec, s.fit(p.panel, p.spec, p.first_cutoff))
     out, _ = features.encode_statistics(scaled, p.spec, p.first_cutoff)
-    names = [c for c in out.columns if c.startswith("target_") and c != "target_mean"]  # the mean of a standardised series is 0, of either sign
-    return out.where("t = 1").select("id", *_r(*names))
+    return out.where("t = 1").select("id", F.round(F.col("target_mean") + _OFF, 6).alias("target_mean"), *_r(*(c for c in out.columns if c.startswith("target_") and c != "target_mean")))
 
 
 def _scale(kind: str) -> Query:
@@ -341,6 +345,39 @@ _CHANCE = """, o AS (SELECT p.id, c.ct, sum(CASE WHEN y <> 0 THEN 1 ELSE 0 END *
 _TSB = f"{_with('part_month', _DEMAND + _CHANCE)} SELECT e.id, e.ct, e.step, round(coalesce(chance * size, 0), 6) AS value FROM {_EVERY} e LEFT JOIN lv ON lv.id = e.id AND lv.ct = e.ct LEFT JOIN o ON o.id = e.id AND o.ct = e.ct"
 
 
+def _tuned_levels(f: Frequency, h: int, raw: str, first: float, last: float) -> str:
+    """Levels of sizes and gaps for each weight of a grid after each demand of the first window's history, as weighted running sums."""
+    return f"""WITH raw AS ({raw}), {_grid(f, h)},
+t0 AS (SELECT min(ct) AS ct FROM c),
+g AS (SELECT round({first} + 0.01 * i, 2) AS w FROM (SELECT unnest(range({round((last - first) * 100) + 1})) AS i)),
+dm AS (SELECT id, t, y, t - coalesce(lag(t) OVER (PARTITION BY id ORDER BY t), 0) AS gap, row_number() OVER (PARTITION BY id ORDER BY t) AS j,
+ coalesce(lead(t) OVER (PARTITION BY id ORDER BY t), (SELECT ct FROM t0) + 1) AS next, lead(y) OVER (PARTITION BY id ORDER BY t) AS ahead FROM p WHERE y > 0 AND t <= (SELECT ct FROM t0)),
+lv AS (SELECT id, t, j, w, next, ahead, pow(1 - w, j) * sum(y * a * pow(1 - w, -j)) OVER o AS size, pow(1 - w, j) * sum(gap * a * pow(1 - w, -j)) OVER o AS gap
+ FROM (SELECT *, CASE WHEN j = 1 THEN 1 ELSE w END AS a FROM dm CROSS JOIN g) WINDOW o AS (PARTITION BY id, w ORDER BY j ROWS UNBOUNDED PRECEDING))"""
+
+
+#: A level holds from after its demand to the next one: so many periods, of which only the last has demand.
+_CROSTON_AUTO = _tuned_levels(PANELS["part_month"][1], PANELS["part_month"][2], PANELS["part_month"][0], 0.05, 0.30) + f""",
+se AS (SELECT s.id, s.w AS a, q.w AS b, sum((least(s.next, (SELECT ct FROM t0)) - s.t) * pow(0.95 * s.size / q.gap, 2) - 2 * 0.95 * s.size / q.gap * coalesce(s.ahead, 0) + coalesce(s.ahead * s.ahead, 0)) / nullif(sum(least(s.next, (SELECT ct FROM t0)) - s.t), 0) AS e
+ FROM lv s JOIN lv q ON q.id = s.id AND q.j = s.j GROUP BY 1, 2, 3),
+best AS (SELECT id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(e, 6), a, b) AS r FROM se) WHERE r = 1),
+ids AS (SELECT i.id, coalesce(a, 0.05) AS a, coalesce(b, 0.05) AS b FROM (SELECT DISTINCT id FROM p) i LEFT JOIN best ON best.id = i.id),
+dx AS (SELECT id, t, y, t - coalesce(lag(t) OVER (PARTITION BY id ORDER BY t), 0) AS gap, row_number() OVER (PARTITION BY id ORDER BY t) AS j FROM p WHERE y > 0),
+wx AS (SELECT dx.id, c.ct, y, gap, j, a, b, max(j) OVER (PARTITION BY dx.id, c.ct) AS m FROM dx JOIN ids ON ids.id = dx.id JOIN c ON dx.t <= c.ct),
+fx AS (SELECT id, ct, 0.95 * sum(y * CASE WHEN j = 1 THEN 1 ELSE a END * pow(1 - a, m - j)) / sum(gap * CASE WHEN j = 1 THEN 1 ELSE b END * pow(1 - b, m - j)) AS f FROM wx GROUP BY 1, 2)
+SELECT e.id, e.ct, e.step, round(coalesce(f, 0), 6) AS value FROM {_EVERY} e LEFT JOIN fx ON fx.id = e.id AND fx.ct = e.ct"""
+_TSB_AUTO = _tuned_levels(PANELS["event_day"][1], PANELS["event_day"][2], PANELS["event_day"][0], 0.02, 0.50) + """,
+ch AS (SELECT id, t, w, pow(1 - w, t) * sum(CASE WHEN y <> 0 THEN 1 ELSE 0 END * CASE WHEN t = 1 THEN 1 ELSE w END * pow(1 - w, -t)) OVER (PARTITION BY id, w ORDER BY t ROWS UNBOUNDED PRECEDING) AS chance FROM p CROSS JOIN g),
+se AS (SELECT s.id, s.w AS a, q.w AS b, avg(pow(s.size * q.chance - p.y, 2)) AS e FROM lv s JOIN ch q ON q.id = s.id AND q.t >= s.t AND q.t < s.next AND q.t < (SELECT ct FROM t0) JOIN p ON p.id = s.id AND p.t = q.t + 1 GROUP BY 1, 2, 3),
+best AS (SELECT id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(e, 6), a, b) AS r FROM se) WHERE r = 1),
+ids AS (SELECT i.id, coalesce(a, 0.02) AS a, coalesce(b, 0.02) AS b FROM (SELECT DISTINCT id FROM p) i LEFT JOIN best ON best.id = i.id),
+dx AS (SELECT id, t, y, row_number() OVER (PARTITION BY id ORDER BY t) AS j FROM p WHERE y > 0),
+wx AS (SELECT dx.id, c.ct, y, j, a, max(j) OVER (PARTITION BY dx.id, c.ct) AS m FROM dx JOIN ids ON ids.id = dx.id JOIN c ON dx.t <= c.ct),
+fx AS (SELECT id, ct, sum(y * CASE WHEN j = 1 THEN 1 ELSE a END * pow(1 - a, m - j)) AS size FROM wx GROUP BY 1, 2),
+oc AS (SELECT ch.id, ch.t AS ct, chance FROM ch JOIN ids ON ids.id = ch.id AND round(ids.b, 2) = round(ch.w, 2))
+SELECT c.ct, s.step, i.id, round(coalesce(size * chance, 0), 6) AS value FROM ids i CROSS JOIN c CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS step) s LEFT JOIN fx ON fx.id = i.id AND fx.ct = c.ct LEFT JOIN oc ON oc.id = i.id AND oc.ct = c.ct"""
+
+
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plan(spark, sf_dir, "brand_week")
     return p.evaluated(_forecasts(p, ()), ("MAE", "RMSE", "SAPIS"))
@@ -450,9 +487,9 @@ def seasonal_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole preparation in the reference order, up to the first periods of each series."""
+    """The whole preparation: min-max, scaling, calendar, categories, statistics."""
     out, _, _ = rich_plan(spark, sf_dir).prepared(features.Scaler("max"))
-    return out.select("id", "ds", *_r("y", "l_discount", "p_size", "month_sin", "month_cos", "p_type_encoded"))
+    return out.select("id", "ds", *_r("y", "l_discount", "p_size", "month_sin", "month_cos", "p_type_encoded", "target_std", "target_quantile_50"), F.round(F.col("target_mean") + _OFF, 6).alias("target_mean"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,11 +516,11 @@ def _intervals_sql(model: str) -> str:
     return f"{_with('brand_week', _cv('brand_week'))} SELECT id, ct, i AS step, q, round(v, 6) AS value FROM cq WHERE model = '{model}'"
 
 
-_ENC = """, fit AS (SELECT id, avg(y) AS m0, coalesce(nullif(stddev_samp(y), 0), 1) AS s FROM p WHERE t <= (SELECT min(ct) FROM c) GROUP BY 1),
-x AS (SELECT p.id, (y - m0) / s AS y FROM p JOIN fit ON fit.id = p.id WHERE t <= (SELECT min(ct) FROM c)),
+_ENC = """, fit AS (SELECT id, coalesce(nullif(max(y), 0), 1) AS s FROM p WHERE t <= (SELECT min(ct) FROM c) GROUP BY 1),
+x AS (SELECT p.id, y / s AS y FROM p JOIN fit ON fit.id = p.id WHERE t <= (SELECT min(ct) FROM c)),
 mo AS (SELECT id, avg(y) AS m, count(*) AS n FROM x GROUP BY 1),
 ce AS (SELECT x.id, any_value(n) AS n, avg(y) AS m, stddev_samp(y) AS sd, avg((y - m) ** 2) AS m2, avg((y - m) ** 3) AS m3, avg((y - m) ** 4) AS m4, {q} FROM x JOIN mo ON mo.id = x.id GROUP BY x.id)
-SELECT id, round(sd, 6) AS target_std, round(CASE WHEN n >= 4 AND m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END, 6) AS target_skewness, round(CASE WHEN n >= 4 AND m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 6) AS target_kurtosis, {r} FROM ce""".format(
+SELECT id, round(m + 1e-9, 6) AS target_mean, round(sd, 6) AS target_std, round(CASE WHEN n >= 4 AND m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END, 6) AS target_skewness, round(CASE WHEN n >= 4 AND m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 6) AS target_kurtosis, {r} FROM ce""".format(
     q=", ".join(f"quantile_cont(y, {q}) AS q{i}" for i, q in enumerate(_Q)), r=", ".join(f"round(CASE WHEN n >= 4 THEN q{i} ELSE 0 END, 6) AS target_quantile_{round(100 * q)}" for i, q in enumerate(_Q))
 )
 
@@ -499,7 +536,7 @@ QUERIES: dict[str, Query] = {
     "seasonal_naive_cv": _window_cv("SEASONAL_NAIVE"), "seasonal_naive_intervals": _window_intervals("SEASONAL_NAIVE"),
     "historic_average_cv": _window_cv("HISTORIC_AVERAGE"), "historic_average_intervals": _window_intervals("HISTORIC_AVERAGE"), "wide_forecasts": wide_forecasts,
     "croston_fixed": _recursive("CROSTON", (0.1, 0.1)), "tsb_fixed": _recursive("TSB", (0.1, 0.1)),
-    "croston_auto": _recursive("CROSTON", None), "tsb_auto": _recursive("TSB", None), "tsb_intervals": _recursive("TSB", None, "event_day", QUANTILES),
+    "croston_auto": _recursive("CROSTON", None), "tsb_auto": _recursive("TSB", None), "tsb_auto_events": _recursive("TSB", None, "event_day"), "tsb_intervals": _recursive("TSB", None, "event_day", QUANTILES),
     **{f"{m.lower()}_auto": _recursive(m, None, "brand_week") for m in ("THETA", "ETS", "ARIMA", "CES")},
     **{f"metric_{m.lower()}": _metric(m) for m in metrics.METRICS},
     "metrics_summary": metrics_summary, "metrics_melt": metrics_melt, "mean_error": mean_error, "box_plot_stats": box_plot_stats,
@@ -530,10 +567,11 @@ ORACLE_SQL: dict[str, str] = {
     "prepared_panel": _RICH + """, e AS (SELECT min(l_discount) AS a, max(l_discount) AS b, min(p_size) AS x, max(p_size) AS z FROM f),
 mx AS (SELECT id, coalesce(nullif(max(y), 0), 1) AS s FROM f JOIN c0 ON f.t <= c0.ct GROUP BY 1),
 u AS (SELECT f.id, ds, t, f.y / s AS y, l_discount, p_size, p_type FROM f JOIN mx ON mx.id = f.id),
-tr AS (SELECT u.* FROM u JOIN c0 ON u.t <= c0.ct), pr AS (SELECT avg(y) AS prior FROM tr), ca AS (SELECT p_type, sum(y) AS sy, count(*) AS n FROM tr GROUP BY 1)
-SELECT id, ds, round(u.y, 6) AS y, round(coalesce((l_discount - a) / nullif(b - a, 0), 0), 6) AS l_discount, round(coalesce((p_size - x) / nullif(z - x, 0), 0), 6) AS p_size,
+tr AS MATERIALIZED (SELECT u.* FROM u JOIN c0 ON u.t <= c0.ct), pr AS (SELECT avg(y) AS prior FROM tr), ca AS (SELECT p_type, sum(y) AS sy, count(*) AS n FROM tr GROUP BY 1),
+sq AS (SELECT id, avg(y) AS tm, stddev_samp(y) AS ts, CASE WHEN count(*) >= 4 THEN quantile_cont(y, 0.5) ELSE 0 END AS tq FROM tr GROUP BY 1)
+SELECT u.id, ds, round(tm + 1e-9, 6) AS target_mean, round(ts, 6) AS target_std, round(tq, 6) AS target_quantile_50, round(u.y, 6) AS y, round(coalesce((l_discount - a) / nullif(b - a, 0), 0), 6) AS l_discount, round(coalesce((p_size - x) / nullif(z - x, 0), 0), 6) AS p_size,
  round(sin(2 * pi() * month(ds) / 12), 6) AS month_sin, round(cos(2 * pi() * month(ds) / 12), 6) AS month_cos, round(CASE WHEN n > 1 THEN (sy + prior) / (n + 1) ELSE prior END, 6) AS p_type_encoded
-FROM u CROSS JOIN e CROSS JOIN pr LEFT JOIN ca ON ca.p_type = u.p_type""",
+FROM u JOIN sq ON sq.id = u.id CROSS JOIN e CROSS JOIN pr LEFT JOIN ca ON ca.p_type = u.p_type""",
     "static_table": "SELECT CAST(l_partkey AS VARCHAR) AS id, min(p_type) AS p_type, min(p_size) AS p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "pad_short": f"WITH raw AS ({PANELS['part_month'][0]}), s AS (SELECT id, count(*) AS n, min(ds) AS lo FROM raw GROUP BY 1) SELECT id, ds, round(y, 6) AS y FROM raw UNION ALL SELECT id, CAST(lo - to_months(CAST(k AS INTEGER)) AS DATE), 0 FROM (SELECT id, lo, unnest(range(1, 31 - n)) AS k FROM s WHERE n < 30)",
     "shortest_series": f"SELECT min(n) AS shortest FROM (SELECT count(*) AS n FROM ({PANELS['part_month'][0]}) GROUP BY id)",
@@ -550,7 +588,7 @@ FROM u CROSS JOIN e CROSS JOIN pr LEFT JOIN ca ON ca.p_type = u.p_type""",
     "wide_forecasts": _with("brand_week", _cv("brand_week")) + "SELECT id, ct, i AS step, " + ", ".join(
         f"max(CASE WHEN model = '{m}' THEN {v} END) AS {m.lower()}{n}" for m in ("SEASONAL_NAIVE", "HISTORIC_AVERAGE") for n, v in (("", "round(f, 6)"), ("_median", "round(f, 6)"), ("_lo_80", f"round(f + {Z(0.1)!r} * sg, 6)"), ("_hi_80", f"round(f + {Z(0.9)!r} * sg, 6)"))
     ) + " FROM cv GROUP BY 1, 2, 3",
-    "croston_fixed": _CROSTON, "tsb_fixed": _TSB,
+    "croston_fixed": _CROSTON, "tsb_fixed": _TSB, "croston_auto": _CROSTON_AUTO, "tsb_auto_events": _TSB_AUTO,
     **{f"metric_{m.lower()}": _metric_sql(m) for m in metrics.METRICS},
     "metrics_summary": _EVAL3 + "SELECT metric, model, round(avg(error), 6) AS mean, round(stddev_pop(error), 6) AS std, round(min(error), 6) AS min, round(max(error), 6) AS max FROM ev GROUP BY 1, 2",
     "metrics_melt": _EVAL3 + "SELECT id, metric, model, round(error, 6) AS error FROM ev WHERE metric IN ('MAE', 'SAPIS')",

@@ -58,6 +58,16 @@ def register_folder(name: str, path: str, **roles) -> None:
     register(Dataset(name, lambda spark: spark.read.parquet(path), **roles))
 
 
+def register_folders(root: str, roles: dict[str, dict] | None = None) -> None:
+    """All known datasets by convention: ``root``/<name> is one merged Parquet table with productID, storeID, date and target.
+
+    ``roles``: by dataset, other column names and the features (``past``, ``future``, ``static``). What is registered already stays.
+    """
+    for name in DATASETS:
+        if name not in _FOUND:
+            register_folder(name, f"{root}/{name}", **{k: tuple(v) if isinstance(v, list) else v for k, v in (roles or {}).get(name, {}).items()})
+
+
 def dataset(name: str) -> Dataset:
     if name in _FOUND:
         return _FOUND[name]
