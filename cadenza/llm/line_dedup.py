@@ -36,6 +36,8 @@ from .common import Tables, binary, key_filter, mix, row_key, small_batches, spa
 #: Slots of the word count table (a byte each when it is broadcast).
 SLOTS = 1 << 20
 _CHUNK = 1 << 14
+#: Bytes of text behind one bucket of words, at most, up to 2^22 buckets.
+BUCKET_BYTES = 3 << 20
 #: 64-bit words of the map of a set by which pairs are bounded before their words are read.
 MAP = 8
 #: A word's group above this size keeps all its members: pairs are filtered later, when the earliest has been tried.
@@ -141,15 +143,14 @@ def _post(order, percent: int, least_words: int, bits: int):
             token = lines.token[post]
             bucket = (token & _U64((1 << bits) - 1)).astype(np.int64)
             deal = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[deal], np.arange((1 << bits) + 1))
-            post, line, token = place[post][deal], line[deal], token[deal]
+            post, line, token, bucket = place[post][deal], line[deal], token[deal], bucket[deal]
+            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
             rows = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                x, y = int(edges[b]), int(edges[b + 1])
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
                 small = np.stack((n[line[x:y]], post[x:y])).astype("<u4")
                 planes = zstandard.compress(np.ascontiguousarray(small.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)).tobytes(), 1)
                 name = np.ascontiguousarray(token[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-                rows.append((b, y - x, name.tobytes() + lines.sid[line[x:y]].tobytes() + bitmap[line[x:y]].tobytes() + planes))
+                rows.append((int(bucket[x]), y - x, name.tobytes() + lines.sid[line[x:y]].tobytes() + bitmap[line[x:y]].tobytes() + planes))
             b, size, payload = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(size, pa.int32()), binary(payload)], ["bucket", "size", "payload"])
 
@@ -289,7 +290,7 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int, tables: Tabl
     kind = dict(keyed.dtypes)["id"]
     order = spark.sparkContext.broadcast(word_order(texts))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(14, max(4, (size // (40 << 20)).bit_length() + 2))
+    bits = min(22, max(4, (size // BUCKET_BYTES).bit_length()))
     posted = texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary")
     members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint"), "members")
     wanted = stored(members.select("sid").distinct(), "wanted")
