@@ -284,18 +284,32 @@ def rolling(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(inverse, n))
 
 
-#: Bits of a filter of keys.
+#: Bits of a filter of keys, and of a chunk of it.
 FILTER_BITS = 1 << 25
+_CHUNK_BITS = 1 << 19
 
 
-def _filter_bits(column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_slot(batch[column].to_numpy(zero_copy_only=False))] = True
-        yield pa.RecordBatch.from_arrays([binary([zstandard.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of a task's keys, in chunks; those without a key are left out."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        at = _slot(batch["key"].to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    chunks = bits.reshape(-1, _CHUNK_BITS // 8)
+    held = np.flatnonzero(chunks.any(1)).tolist()
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), binary([zstandard.compress(chunks[c].tobytes(), 1) for c in held])], ["chunk", "bits"])
 
-    return run
+
+def _filter_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that reach a task, united one after another."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, bits in zip(batch["chunk"].to_pylist(), batch["bits"], strict=True):
+            own = np.frombuffer(zstandard.decompress(bits.as_buffer()), np.uint8)
+            total[chunk] = total[chunk] | own if chunk in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), binary([zstandard.compress(c.tobytes(), 1) for c in total.values()])], ["chunk", "bits"])
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -304,10 +318,15 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 def key_filter(wanted: DataFrame, column: str):
     """A function for tasks: which of some 64-bit hashes may be in the column. It has no false negatives, and 4 MB are broadcast whatever the table."""
-    parts = wanted.select(column).repartition(4, column).mapInArrow(_filter_bits(column), "bits binary").collect()  # four rows of at most 4 MB
+    # keys aren't shuffled: tasks' filters are united in two steps, and 64 chunks of at most 64 KB reach the driver
+    layout = "chunk int, bits binary"
+    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = wanted.select(F.col(column).alias("key")).mapInArrow(_filter_bits, layout).withColumn("salt", (F.rand(1) * 64).cast("int"))
+    parts = some.repartition(n, "chunk", "salt").select("chunk", "bits").mapInArrow(_filter_union, layout).repartition(n, "chunk").mapInArrow(_filter_union, layout).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for p in parts:
-        bits |= np.frombuffer(zstandard.decompress(p["bits"]), np.uint8)
+        at = p["chunk"] * (_CHUNK_BITS // 8)
+        bits[at : at + _CHUNK_BITS // 8] = np.frombuffer(zstandard.decompress(p["bits"]), np.uint8)
     shared = wanted.sparkSession.sparkContext.broadcast(bits)
 
     def passes(keys: np.ndarray) -> np.ndarray:

@@ -142,7 +142,7 @@ def _post(order, percent: int, least_words: int, bits: int):
             line = np.repeat(np.arange(len(n)), n)[post]
             token = lines.token[post]
             bucket = (token & _U64((1 << bits) - 1)).astype(np.int64)
-            deal = np.argsort(bucket, kind="stable")
+            deal = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")  # 16 bits are sorted by digits
             post, line, token, bucket = place[post][deal], line[deal], token[deal], bucket[deal]
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
             rows = []
@@ -157,6 +157,17 @@ def _post(order, percent: int, least_words: int, bits: int):
     return run
 
 
+def _by_token(token: np.ndarray, sid: np.ndarray) -> np.ndarray:
+    """An order in which equal tokens, and of those equal sids, stand together. One key of parts of both sorts faster; where parts don't tell, whole values do."""
+    part = _U64((1 << 24) - 1)
+    key = (token & ~part) | (sid.view(np.uint64) & part)
+    by = np.argsort(key)
+    key, a, b = key[by], token[by], sid[by]
+    mixed = ((key[1:] ^ key[:-1]) <= part) & (a[1:] != a[:-1])
+    mixed |= (key[1:] == key[:-1]) & (b[1:] != b[:-1])
+    return np.lexsort((sid, token)) if mixed.any() else by
+
+
 def _partners(percent: int):
     """Members of a bucket's words that have a possible partner, once per word and set."""
 
@@ -172,7 +183,7 @@ def _partners(percent: int):
             planes = np.frombuffer(zstandard.decompress(memoryview(raw)[22 * size :]), np.uint8).reshape(2, 4, size)
             smalls.append(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(2, size).astype(np.int64))
         token, sid, bitmap, (n, place) = np.concatenate(names), np.concatenate(sids), np.concatenate(maps), np.concatenate(smalls, axis=1)
-        by = np.lexsort((sid, token))
+        by = _by_token(token, sid)
         token, sid, bitmap, n, place = token[by], sid[by], bitmap[by], n[by], place[by]
         once = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))
         token, sid, bitmap, n, place = token[once], sid[once], bitmap[once], n[once], place[once]
@@ -215,8 +226,12 @@ def _again(percent: int):
 
 
 # ---------------------------------------------------------------- comparison
-def _packed(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray((np.sort(tokens) >> _U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _packed(tokens: np.ndarray, each: np.ndarray) -> bytes:
+    """Six bytes a word, in ascending order within each set; ``each`` is the set of a word, ascending."""
+    names = tokens >> _U64(16)
+    if ((each[1:] == each[:-1]) & (names[1:] < names[:-1])).any():
+        names = names[np.lexsort((names, each))]
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _unpacked(words: pa.BinaryScalar) -> np.ndarray:
@@ -244,12 +259,11 @@ def _scan(least_words: int, wanted, schema: pa.Schema):
                 chosen = use[first]
                 each = np.repeat(np.arange(len(first)), lines.n[chosen])
                 token = lines.token[np.arange(len(each)) - np.repeat(np.cumsum(lines.n[chosen]) - lines.n[chosen], lines.n[chosen]) + np.repeat(at[chosen], lines.n[chosen])]
-                bit = (token >> _U64(16)) & _U64(64 * MAP - 1)
-                for w in range(MAP):
-                    own = np.flatnonzero(bit >> _U64(6) == w)
-                    np.bitwise_or.at(maps[:, w], first[each[own]], _U64(1) << (bit[own] & _U64(63)))
-                for k, line in zip(first.tolist(), chosen.tolist(), strict=True):
-                    words[k] = _packed(lines.token[at[line] : at[line + 1]])
+                bit = ((token >> _U64(16)) & _U64(64 * MAP - 1)).astype(np.int64)
+                np.bitwise_or.at(maps.reshape(-1), first[each] * MAP + (bit >> 6), _U64(1) << (bit & 63).astype(np.uint64))
+                ends = np.cumsum(lines.n[chosen])
+                packed = _packed(token, each)
+                words[first] = [packed[6 * x : 6 * y] for x, y in zip((ends - lines.n[chosen]).tolist(), ends.tolist(), strict=True)]
             rows = pa.array(lines.doc[use])
             columns = [pa.array(sid), *(batch[c].take(rows) for c in ("id", "k1", "k2")), pa.array(lines.number[use].astype(np.int32)), binary(words.tolist()), *(pa.array(maps[:, w].view(np.int64)) for w in range(MAP))]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -293,18 +307,16 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int, tables: Tabl
     bits = min(22, max(4, (size // BUCKET_BYTES).bit_length()))
     posted = texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary")
     members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint"), "members")
-    wanted = stored(members.select("sid").distinct(), "wanted")
     maps = [f"m{w}" for w in range(MAP)]
     layout = T.StructType.fromDDL(f"sid bigint, id {kind}, k1 bigint, k2 bigint, line int, words binary, " + ", ".join(f"{m} bigint" for m in maps))
-    lines = stored(keyed.mapInArrow(_scan(least_words, key_filter(wanted, "sid"), to_arrow_schema(layout)), layout), "lines")
+    lines = stored(keyed.mapInArrow(_scan(least_words, key_filter(members, "sid"), to_arrow_schema(layout)), layout), "lines")
 
     place = F.struct("id", "k1", "line")
     firsts = stored(lines.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
     mapped = lines.where("words IS NOT NULL").groupBy("sid").agg(*(F.max(m).alias(m) for m in maps))  # equal for equal sets
-    near = members.join(mapped, "sid").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(1 << bits)))
-    near = near.groupBy("bucket").applyInArrow(_again(percent), "token bigint, sid bigint, n bigint, place bigint, " + ", ".join(f"{m} bigint" for m in maps))
-    near = stored(near, "members")
-    known = stored(near.join(firsts.select("sid", "first"), "sid"), "members")
+    near = members.join(mapped, "sid").join(firsts.drop("times"), "sid").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(1 << bits)))
+    layout = f"token bigint, sid bigint, n bigint, place bigint, first struct<id: {kind}, k1: bigint, line: int>, " + ", ".join(f"{m} bigint" for m in maps)
+    known = stored(near.groupBy("bucket").applyInArrow(_again(percent), layout), "members")
     earliest = known.groupBy("token").agg(F.min(F.struct("first", "sid", "n", *maps)).alias("e"))
     theirs = [F.col(m).alias(f"o{m}") for m in maps]
     rivals = known.select("token", F.col("sid").alias("rival"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("place").alias("at"), *theirs)
