@@ -318,11 +318,9 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 def key_filter(wanted: DataFrame, column: str):
     """A function for tasks: which of some 64-bit hashes may be in the column. It has no false negatives, and 4 MB are broadcast whatever the table."""
-    # keys aren't shuffled: tasks' filters are united in two steps, and 64 chunks of at most 64 KB reach the driver
+    # keys aren't shuffled: tasks' filters are united chunk by chunk, and 64 chunks of at most 64 KB reach the driver
     layout = "chunk int, bits binary"
-    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = wanted.select(F.col(column).alias("key")).mapInArrow(_filter_bits, layout).withColumn("salt", (F.rand(1) * 64).cast("int"))
-    parts = some.repartition(n, "chunk", "salt").select("chunk", "bits").mapInArrow(_filter_union, layout).repartition(n, "chunk").mapInArrow(_filter_union, layout).collect()
+    parts = wanted.select(F.col(column).alias("key")).mapInArrow(_filter_bits, layout).repartition("chunk").mapInArrow(_filter_union, layout).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for p in parts:
         at = p["chunk"] * (_CHUNK_BITS // 8)

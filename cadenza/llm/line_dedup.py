@@ -103,10 +103,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_order(texts: DataFrame) -> np.ndarray:
     """Rank (0 rare .. 63 frequent) of each slot by the counts of all words. Tasks' counts are added up in two steps; a megabyte or so reaches the driver, whatever the corpus."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     layout = "chunk int, counts binary"
     some = texts.mapInArrow(_count, layout).withColumn("salt", (F.rand(1) * 64).cast("int"))
-    rows = some.repartition(n, "chunk", "salt").select("chunk", "counts").mapInArrow(_add, layout).repartition(n, "chunk").mapInArrow(_add, layout).collect()
+    rows = some.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_add, layout).repartition("chunk").mapInArrow(_add, layout).collect()
     out = np.zeros(SLOTS, np.uint8)
     for r in rows:
         total = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
