@@ -29,6 +29,8 @@ from .common import binary, small_batches, text_blocks, trim
 
 #: New chunks that one pair index takes, which bounds its memory.
 CHUNKS_AT_ONCE = 50_000
+#: Bytes of text cut at a time: the arrays of a block weigh about thirty times its text.
+ENCODED_BYTES = 1 << 20
 
 
 class PairIndexBPE:
@@ -215,7 +217,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = loaded(tokenizer)
-        for batch, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches, limit=ENCODED_BYTES):
             starts, ends = word_cuts(data, offs)
             ids, counts = encoder([(data, starts, ends)])[0]
             yield emit(bpe, batch, ids, ids_per_document(starts, counts, offs))
