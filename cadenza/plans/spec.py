@@ -16,6 +16,11 @@ class Frequency(Enum):
     def __init__(self, alias: str, season: int, unit: str, step: int):
         self.alias, self.season, self.unit, self.step = alias, season, unit, step
 
+    @property
+    def period_alias(self) -> str:
+        """The alias for libraries that name months as periods, not by their first or last day."""
+        return "M" if self.unit == "month" else self.alias
+
     @classmethod
     def of(cls, name: str) -> Frequency:
         try:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def train_periods(periods: int, share: float = 0.8) -> int:
     return round(share * periods)  # half to even
@@ -22,9 +27,32 @@ def backtest_offset(horizon: int, windows: int, step: int = 1) -> int:
 
 
 def feasible_windows(windows: int, shortest: int, validation: int, input_size: int, horizon: int, step: int = 1) -> int:
-    """Windows that the shortest series can feed, one at least."""
+    """Windows that the shortest series can feed, one at least; a smaller number than asked for is reported."""
     room = max(0, shortest - validation - input_size - 2 * horizon)
-    return max(1, min(windows, room // step + 1))
+    found = max(1, min(windows, room // step + 1))
+    if found < windows:
+        log.warning("%d windows instead of %d: the shortest series has %d periods", found, windows, shortest)
+    return found
+
+
+def validation_periods(horizon: int, given: int = 0) -> int:
+    """Periods held back for validation: one horizon unless given."""
+    return given or horizon
+
+
+def longest_input(horizon: int, defaults: tuple[int | None, ...] = ()) -> int:
+    """An upper bound of the periods that window models read: the longest candidate of a search, or a model's own default."""
+    # fixed values: the candidates of the search
+    searched = (4, horizon // 2, 6, horizon, min(14, 2 * horizon))
+    return max(*searched, *(d for d in defaults if d is not None))
+
+
+def taken(engine: Callable, inputs: dict[str, object]) -> dict[str, object]:
+    """Those of ``inputs`` that ``engine`` has a parameter for; all of them where it takes any keyword."""
+    wanted = inspect.signature(engine).parameters
+    if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in wanted.values()):
+        return dict(inputs)
+    return {name: value for name, value in inputs.items() if name in wanted}
 
 
 @dataclass(frozen=True)

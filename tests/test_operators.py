@@ -217,6 +217,12 @@ def test_best_trial(spark):
     assert best_trial(spark.createDataFrame(rows, "id string, params string, loss double"), ["id"]).first()["params"] == "p0"
 
 
+def test_shrink(spark):
+    df = spark.createDataFrame([("a", 1.5, None, 2)], "id string, y double, `q.5` double, n int")
+    assert dict(panel.shrink(df, keep=("y",)).dtypes) == {"id": "string", "y": "double", "q.5": "float", "n": "int"}
+    assert panel.shrink(df).first() == ("a", 1.5, None, 2)
+
+
 def test_padding_keeps_static_values(spark):
     df = frame(spark, [("a", D, 1.0, "s"), ("b", D, 1.0, "t"), ("b", D + timedelta(days=1), 2.0, "t")], "id string, ds date, y double, k string")
     out = panel.pad_short(df, PanelSpec(static=("k",)), Frequency.DAILY, 2).collect()

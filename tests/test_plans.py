@@ -5,7 +5,7 @@ import pytest
 from cadenza.functions import levels as lv
 from cadenza.plans.config import Config, load_yaml, output_path
 from cadenza.plans.spec import TASKS, Frequency, Hierarchy, PanelSpec, Task
-from cadenza.plans.windows import backtest_offset, feasible_windows, train_periods, window_count
+from cadenza.plans.windows import backtest_offset, feasible_windows, longest_input, taken, train_periods, validation_periods, window_count
 from cadenza.sources.catalog import dataset
 from cadenza.sources.files import FileFormat
 
@@ -26,6 +26,25 @@ def test_windows_of_a_short_daily_panel():
     assert feasible_windows(10, 5, 7, 14, 7) == 1
 
 
+def test_fewer_windows_are_reported(caplog):
+    assert feasible_windows(3, 40, 7, 14, 7) == 3 and not caplog.records
+    assert feasible_windows(10, 40, 7, 14, 7) == 6 and "6 windows instead of 10" in caplog.text
+
+
+def test_sizes_of_window_models():
+    assert (validation_periods(7), validation_periods(7, 3)) == (7, 3)
+    assert [longest_input(h) for h in (1, 3, 7, 30)] == [6, 6, 14, 30] and longest_input(7, (None, 48)) == 48
+
+
+def test_an_engine_gets_what_it_takes():
+    assert taken(lambda df, h: None, {"df": 1, "h": 2, "static": 3}) == {"df": 1, "h": 2}
+    assert taken(lambda df, **rest: None, {"df": 1, "h": 2}) == {"df": 1, "h": 2}
+
+
+def test_period_aliases():
+    assert [f.period_alias for f in Frequency] == ["D", "W-MON", "M"]
+
+
 def test_roles():
     s = PanelSpec(past=("a",), future=("b", "a"), static=("c",)).add("categorical", "a", "z")
     assert (s.exogenous, s.categorical, s.columns) == (("a", "b", "c"), ("a",), ("id", "ds", "y", "a", "b", "c"))
