@@ -62,13 +62,13 @@ def space_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ChunkEncoder:
-    """Ids of the chunks of some blocks; ``encode(list of chunk bytes)`` gives a list of id lists and is called once for all blocks.
+    """Ids of the chunks of some blocks; ``encode(list of chunk bytes)`` gives a list of id lists, or of their bytes (little-endian u32), and is called once for all blocks.
 
     Chunks are known by their bytes, not by a hash. The cache has two halves: what is met again moves to the new one,
     and when that is full, the old one goes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]] | list[bytes]], limit: int = CACHE_BYTES):
         self.encode, self.limit, self.size = encode, limit, 0
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -91,7 +91,7 @@ class ChunkEncoder:
                         new[k] = None
         if new:
             for key, ids in zip(new, self.encode(list(new)), strict=True):
-                self._keep(key, struct.pack(f"<{len(ids)}I", *ids))
+                self._keep(key, ids if ids.__class__ is bytes else struct.pack(f"<{len(ids)}I", *ids))
         return [self._gather(*plan) for plan in plans]
 
     def _keep(self, key: bytes, value: bytes) -> None:

@@ -13,6 +13,7 @@ from cadenza.llm import language_id as lang
 from cadenza.llm import mixing
 from cadenza.llm import token_records as rec
 from cadenza.llm.bpe import PairIndexBPE, bpe_encode
+from cadenza.llm.chunks import ids_per_document, space_cuts
 from cadenza.llm.html_text import extract_text, main_text
 from cadenza.llm.queries import tokenizer_path
 from cadenza.llm.top_k import BlockIndex, top_k
@@ -74,6 +75,35 @@ def test_records_equal_the_library_and_read_back(spark):
         at += len(ids)
 
 
+def test_chunks_go_through_the_library_together(monkeypatch):
+    path, r, sent, kind = tokenizer_path("byte_bpe_50k.json"), random.Random(6), [], tokenizers.Tokenizer
+    tok = tokenizers.Tokenizer.from_file(path)
+
+    class Counting:
+        def __init__(self, path):
+            self.tok = kind.from_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.tok.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Loader", (), {"from_file": Counting}))
+    monkeypatch.setattr(rec, "_ENCODERS", {})
+    encoder = rec.library_encoder(path)
+    values = [*texts(7), "".join(r.choice(" éab.,c") + "".join(r.choice("aeioulnrst") for _ in range(9)) for _ in range(6000))]
+    raw = [(t or "").encode() for t in values]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    starts, ends = space_cuts(data, offs)
+    ids, counts = encoder([(data, starts, ends)])[0]
+    at = ids_per_document(starts, counts, offs)
+    for t, a, b in zip(values, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert len(sent) < len(encoder.cache) / 3
+
+
 def test_records_shuffle_by_seed(spark, tmp_path):
     path, values = tokenizer_path("byte_bpe_50k.json"), texts(4, 20)
     rec.write_records(frame(spark, values), f"file://{tmp_path}/d", path)
