@@ -148,6 +148,8 @@ _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _GOLD = _U64(0x9E3779B97F4A7C15)
 #: Lanes of a span that are chained; those behind are summed by position.
 _CHAINED = 8
+#: Spans hashed at a time, whose arrays stay in a core's cache.
+_SPANS = 1 << 15
 #: The modulus of Rabin-Karp hashes, a Mersenne prime, and a fixed random base below it.
 PRIME = (1 << 61) - 1
 BASE = 0x1C80F2B5F6A8E4D3 % PRIME
@@ -203,9 +205,14 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     Lanes of eight bytes go through a non-linear bijection one after the other; those of spans of over 64
     bytes through one that depends on the position, and are summed: no structure of a text cancels out.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens, view = ends - starts, lanes(data)
+    view, out = lanes(data), np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _SPANS):
+        out[at : at + _SPANS] = _span_hash(view, starts[at : at + _SPANS], ends[at : at + _SPANS])
+    return out
+
+
+def _span_hash(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lens = ends - starts
     h = mix((view[starts] & _LANE[np.minimum(lens, 8)]) ^ (lens.astype(np.uint64) * _GOLD))
     more, k = np.flatnonzero(lens > 8), 1
     while len(more) and k < _CHAINED:

@@ -53,7 +53,7 @@ class Lines:
         starts, ends, doc = word_spans(data, offs)
         self.h = span_hash(data, starts, ends)
         breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(breaks, starts)
+        before = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts)))
         line = before + doc  # a document starts a line as a line feed does
         self.heads = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         self.words = np.diff(np.append(self.heads, len(line)))
@@ -62,17 +62,18 @@ class Lines:
 
     def sets(self, order: np.ndarray | None = None) -> None:
         """Distinct words of each line, by ``order`` (rank of a slot) and hash: ``token``, ``at`` (offsets), ``n``, ``sid``."""
-        index = np.repeat(np.arange(len(self.heads)), self.words).astype(np.uint64)
+        index = np.repeat(np.arange(len(self.heads), dtype=np.uint64), self.words)
         bits = max(20, len(self.heads).bit_length())  # of a line's index; six are the order's, the hash has the rest
         key = index << _U64(64 - bits)
         if order is not None:
             key |= order[(self.h & _U64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U64(58 - bits)
         key |= self.h >> _U64(6 + bits)
-        by = np.argsort(key)
-        h, index = self.h[by], index[by]
-        new = np.append(True, (h[1:] != h[:-1]) | (index[1:] != index[:-1])) if len(h) else np.zeros(0, bool)
-        self.token, index = h[new], index[new].astype(np.int64)
-        self.at = np.searchsorted(index, np.arange(len(self.heads) + 1))
+        h = self.h[np.argsort(key)]  # lines stay where they are
+        new = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        new[self.heads] = True
+        self.token = h[new]
+        self.at = np.append(0, np.cumsum(np.add.reduceat(new, self.heads, dtype=np.int64) if len(h) else self.heads))
         self.n = np.diff(self.at)
         sums = np.add.reduceat(mix(self.token ^ _U64(0x5851F42D4C957F2D)), self.at[:-1]) if len(self.token) else self.token
         self.sid = mix(sums + self.n.astype(np.uint64)).view(np.int64)
@@ -80,13 +81,14 @@ class Lines:
 
 # ---------------------------------------------------------------- word order
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word counts of a task, in chunks."""
-    counts = np.zeros(SLOTS, np.int64)
+    """The word counts of a task, in chunks; one more chunk holds its bytes."""
+    counts, size = np.zeros(SLOTS, np.int64), 0
     for _, data, offs in text_blocks(batches):
+        size += len(data)
         starts, ends, _ = word_spans(data, offs)
         counts += np.bincount((span_hash(data, starts, ends) & _U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     if counts.any():
-        parts = counts.reshape(-1, _CHUNK)
+        parts = [*counts.reshape(-1, _CHUNK), np.array([size])]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), binary([zstandard.compress(p.tobytes(), 1) for p in parts])], ["chunk", "counts"])
 
 
@@ -101,16 +103,19 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), binary([zstandard.compress(c.tobytes(), 1) for c in total.values()])], ["chunk", "counts"])
 
 
-def word_order(texts: DataFrame) -> np.ndarray:
-    """Rank (0 rare .. 63 frequent) of each slot by the counts of all words. Tasks' counts are added up in two steps; a megabyte or so reaches the driver, whatever the corpus."""
+def word_order(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank (0 rare .. 63 frequent) of each slot by the counts of all words, and the bytes of the texts (of tasks without a word: none). Tasks' counts are added up in two steps; a megabyte or so reaches the driver, whatever the corpus."""
     layout = "chunk int, counts binary"
     some = texts.mapInArrow(_count, layout).withColumn("salt", (F.rand(1) * 64).cast("int"))
     rows = some.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_add, layout).repartition("chunk").mapInArrow(_add, layout).collect()
-    out = np.zeros(SLOTS, np.uint8)
+    out, size = np.zeros(SLOTS, np.uint8), 0
     for r in rows:
         total = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
+        if r["chunk"] == SLOTS // _CHUNK:
+            size = int(total[0])
+            continue
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.minimum(2 * np.log2(np.maximum(total, 1)), 63).astype(np.uint8)
-    return out
+    return out, size
 
 
 # ---------------------------------------------------------------- candidates
@@ -130,19 +135,17 @@ def _post(order, percent: int, least_words: int, bits: int):
             # a set that no other one can be similar enough to isn't posted: its repeats are counted by sid
             enough = np.flatnonzero((lines.words >= least_words) & (100 * n >= percent * (n + 1)))
             _, first = np.unique(lines.sid[enough], return_index=True)
-            chosen = np.zeros(len(n), bool)
-            chosen[enough[first]] = True
-            bitmap = np.bitwise_or.reduceat(_U64(1) << (lines.token >> _U64(58)), lines.at[:-1])
-            place = np.arange(len(lines.token)) - np.repeat(lines.at[:-1], n)
-            length = n - -(-percent * n // 100) + 1
-            post = np.flatnonzero((place < np.repeat(length, n)) & np.repeat(chosen, n))
-            if not len(post):
+            chosen = np.sort(enough[first])
+            if not len(chosen):
                 continue
-            line = np.repeat(np.arange(len(n)), n)[post]
-            token = lines.token[post]
+            bitmap = np.bitwise_or.reduceat(_U64(1) << (lines.token >> _U64(58)), lines.at[:-1])
+            length = n[chosen] - -(-percent * n[chosen] // 100) + 1
+            line, ends = np.repeat(chosen, length), np.cumsum(length)
+            post = np.arange(ends[-1]) - np.repeat(ends - length, length)  # place in the set
+            token = lines.token[lines.at[line] + post]
             bucket = (token & _U64((1 << bits) - 1)).astype(np.int64)
             deal = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")  # 16 bits are sorted by digits
-            post, line, token, bucket = place[post][deal], line[deal], token[deal], bucket[deal]
+            post, line, token, bucket = post[deal], line[deal], token[deal], bucket[deal]
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
             rows = []
             for x, y in zip(edges[:-1], edges[1:], strict=True):
@@ -194,21 +197,29 @@ def _partners(percent: int):
 
 def _with_partner(percent: int, token: np.ndarray, n: np.ndarray, place: np.ndarray, maps: np.ndarray) -> np.ndarray:
     """Which members, in order of their words, may be similar to another one of their word's group: by length, position and map."""
-    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(head, len(token)))
+    new = np.append(True, token[1:] != token[:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(token)))
     keep = np.repeat(size > GROUP, size)
-    alive = np.flatnonzero(np.repeat((size > 1) & (size <= GROUP), size))
-    step = 1
-    while len(alive):
-        alive = alive[alive + step < len(token)]
-        alive = alive[token[alive + step] == token[alive]]
-        i, j = alive, alive + step
-        need = _needed(percent, n[i], n[j])
-        fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-        i, j, need = i[fits], j[fits], need[fits]
+    own = np.flatnonzero(np.repeat((size > 1) & (size <= GROUP), size))
+    if not len(own):
+        return keep
+    # by size within a word: what is behind a member's place bounds the size of its larger partners, which stand next to it
+    key = np.cumsum(new)[own] << 32 | n[own]
+    by = np.argsort(key)
+    key, own = key[by], own[by]
+    n, rest, maps = n[own], n[own] - place[own], maps[own]
+    largest = np.minimum(rest * (100 + percent) // percent - n, (1 << 32) - 1)
+    last = np.searchsorted(key, (key & ~np.int64((1 << 32) - 1)) | np.maximum(largest, 0), "right") - 1
+    found, alive, step = np.zeros(len(own), bool), np.arange(len(own)), 1
+    while len(alive := alive[alive + step <= last[alive]]):
+        j = alive + step
+        need = _needed(percent, n[alive], n[j])
+        fits = rest[j] >= need
+        i, j, need = alive[fits], j[fits], need[fits]
         fits = n[i] + n[j] - np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64) >= 2 * need
-        keep[i[fits]] = keep[j[fits]] = True
+        found[i[fits]] = found[j[fits]] = True
         step += 1
+    keep[own[found]] = True
     return keep
 
 
@@ -301,8 +312,8 @@ def dropped_lines(keyed: DataFrame, percent: int, least_words: int, tables: Tabl
     spark, stored = keyed.sparkSession, tables.stored
     texts = keyed.select("text")
     kind = dict(keyed.dtypes)["id"]
-    order = spark.sparkContext.broadcast(word_order(texts))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order, size = word_order(texts)
+    order = spark.sparkContext.broadcast(order)
     bits = min(22, max(4, (size // BUCKET_BYTES).bit_length()))
     posted = texts.mapInArrow(_post(order, percent, least_words, bits), "bucket int, size int, payload binary")
     members = stored(posted.groupBy("bucket").applyInArrow(_partners(percent), "token bigint, sid bigint, n bigint, place bigint"), "members")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,24 @@ def test_line_dedup_against_brute_force(spark, percent):
         assert (x["text"], x["n_dropped"], x["k1"]) == (kept, len(gone[i]), 7)
 
 
+@pytest.mark.parametrize("words, mask", [(1, 0x1111111111111111), (8, 3)])
+def test_partners_of_a_word_are_found_among_few_pairs(monkeypatch, words, mask):
+    r, looked, needed = np.random.default_rng(3), [], lines_._needed
+    monkeypatch.setattr(lines_, "_needed", lambda percent, n, m: looked.append(len(n)) or needed(percent, n, m))
+    size = np.array([1, 2, 40, 900])
+    token = np.repeat(np.arange(4), size).astype(np.uint64)
+    n = r.integers(4, 60, len(token))
+    place = (r.random(len(token)) * (n - -(-80 * n // 100) + 1)).astype(np.int64)
+    maps = r.integers(0, 2**63, (len(token), words)).astype(np.uint64) & r.integers(0, 2**63, (len(token), words)).astype(np.uint64) & np.uint64(mask)
+    got = lines_._with_partner(80, token, n, place, maps)
+    need, behind = needed(80, n[:, None], n), n - place
+    differ = np.bitwise_count(maps[:, None] ^ maps).sum(2, dtype=np.int64)
+    pair = (token[:, None] == token) & (np.minimum(behind[:, None], behind) >= need) & (n[:, None] + n - differ >= 2 * need)
+    np.fill_diagonal(pair, False)
+    assert got.tolist() == pair.any(1).tolist() and 0 < got.sum() < len(got)
+    assert sum(looked) < 900 * 899 / 2 / 4
+
+
 def test_exact_dedup_against_brute_force(spark):
     rows = corpus(6) + [(900, "x"), (901, "X"), (902, "x "), (903, "x")]
     got = {r["doc_id"]: r for r in exact.exact_dedup(frame(spark, rows)).collect()}
